@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module and query of each operator.
 OPERATORS = {
+    "op1_benchmark_decontamination": "decontaminate",
     "op9_simhash_near_dup": "simhash",
 }
 
