@@ -13,6 +13,7 @@ OPERATORS = {
     "op3_best_fit_packing": "packing",
     "op7_adaptive_quality_rules": "quality_rules",
     "op8_suffix_tree_lm_scoring": "suffix_tree_lm",
+    "op10_chat_snapshot_collapse": "chat",
     "op9_simhash_near_dup": "simhash",
 }
 
