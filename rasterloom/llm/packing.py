@@ -13,9 +13,11 @@ n - 1. Extra columns aren't read. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,46 +26,76 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import load, ready, table
-from .textops import NOSPACE, blocks, run_sums, span_hashes, utf8, word_spans
+from .textops import LOWER, NOSPACE, blocks, run_sums, span_hashes, utf8, word_spans
 
 SIZE = 4096
 CLOSE = 1
 TOKENIZER = "word_bpe_49k.json"
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: Distinct words whose ids a task remembers.
 KNOWN = 1 << 21
 
 
 class Words:
-    """Token ids of words, each distinct word encoded once. For tokenizers that drop white space and never merge across it."""
+    """Token ids of words, each distinct word encoded once. For tokenizers that ignore case, drop white space, never merge across it, cut between letters and other marks and mark the ends of words."""
+
+    #: One run of small letters in composed form, so one piece for the tokenizer's cutting and the same after its normalizing.
+    PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+    #: So many plain words go to the tokenizer as one text.
+    TOGETHER = 256
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = self.tokenizer.model.end_of_word_suffix or ""
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocab.items() if suffix and w.endswith(suffix)]] = True
+        self.joins = bool(suffix)
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
+    def _new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each has."""
+        call = lambda x: [e.ids for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)]
+        plain = np.fromiter((self.joins and bool(self.PLAIN.fullmatch(w)) for w in words), bool, len(words))
+        own = [w for w, p in zip(words, plain, strict=True) if p]
+        flat = np.fromiter(chain.from_iterable(call([b" ".join(own[i : i + self.TOGETHER]).decode() for i in range(0, len(own), self.TOGETHER)])), np.uint32)
+        stop = np.flatnonzero(self.ends[flat]) + 1
+        if len(stop) != len(own):
+            raise ValueError("the tokenizer doesn't end each word with one of its word ends")
+        rest = call([w.decode() for w, p in zip(words, plain, strict=True) if not p])
+        size = np.zeros(len(words), np.int64)
+        size[plain] = np.diff(stop, prepend=0)
+        size[~plain] = np.fromiter(map(len, rest), np.int64, len(rest))
+        ids = np.zeros(size.sum(), np.uint32)
+        mine = np.repeat(plain, size)
+        ids[mine] = flat
+        ids[~mine] = np.fromiter(chain.from_iterable(rest), np.uint32)
+        return ids, size
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, the closing one last in each, and where each begins (n + 1)."""
+        buf = data.tobytes()
+        if b"<|" not in buf:  # special tokens keep their case
+            data = LOWER[data]
+            buf = data.tobytes()
         s, e, first = word_spans(data, off, NOSPACE)
+        s, e, first = _without_stops(data, s, e, first)
         kinds, one, inv = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
         if len(self.keys) + len(kinds) > KNOWN:
             self.clear()
         new = np.flatnonzero(~self._has(kinds))
         if len(new):
-            buf = data.tobytes()
-            # strict UTF-8 comes from Arrow
-            got = self.tokenizer.encode_batch_fast([buf[a:z].decode() for a, z in zip(s[one[new]].tolist(), e[one[new]].tolist(), strict=True)], add_special_tokens=False)
-            ids = [x.ids for x in got]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            place = np.arange(len(ids)) + len(self.start) - 1
+            ids, n = self._new([buf[a:z] for a, z in zip(s[one[new]].tolist(), e[one[new]].tolist(), strict=True)])
+            place = np.arange(len(n)) + len(self.start) - 1
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
-            self.ids = np.concatenate([self.ids, np.fromiter((y for x in ids for y in x), np.uint32, int(n.sum()))])
+            self.ids = np.concatenate([self.ids, ids])
             keys = np.concatenate([self.keys, kinds[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.place = keys[order], np.concatenate([self.place, place])[order]
@@ -85,6 +117,19 @@ class Words:
         return self.keys[at] == kinds
 
 
+def _without_stops(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans with a last full stop or comma after a small letter as a span of its own: the tokenizer cuts there anyhow."""
+    if not len(s):
+        return s, e, first
+    last, before = data[e - 1], data[np.maximum(e - 2, 0)]
+    stop = (e - s >= 2) & ((last == 46) | (last == 44)) & (before >= 97) & (before <= 122)
+    to = np.arange(len(s)) + np.cumsum(stop) - stop
+    a, z = np.empty(len(s) + stop.sum(), np.int64), np.empty(len(s) + stop.sum(), np.int64)
+    a[to], z[to] = s, e - stop
+    a[to[stop] + 1], z[to[stop] + 1] = e[stop] - 1, e[stop]
+    return a, z, first + np.concatenate([[0], np.cumsum(stop)])[first]
+
+
 def _count_up(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Rank of each value among its equals, after those that seen counts; seen is brought up to date."""
     order = np.argsort(values, kind="stable")
@@ -179,10 +224,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    slots = spark.createDataFrame(plan(histogram, size), "length long, lo long, hi long, first long, each long, at long")
+    slots = np.array(plan(histogram, size), dtype=np.int64).reshape(-1, 6)
+    slots = spark.createDataFrame(pa.table({k: slots[:, i] for i, k in enumerate(("length", "lo", "hi", "first", "each", "at"))}))
     placed = rows.join(base, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     slots = slots.withColumnRenamed("length", "slot_length")
-    # bounded by the number of lengths, not by the corpus
+    # bounded whatever the corpus: at most 3 x size runs of bins, each with at most sqrt(2 x size) different lengths, so 1.1 million rows
     met = placed.join(F.broadcast(slots), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     turn = F.col("rank") - F.col("lo")
     return met.select(id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("first") + F.floor(turn / F.col("each"))).alias("sequence_id"), (F.col("at") + turn % F.col("each") * F.col("length")).alias("offset"))
