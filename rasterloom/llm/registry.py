@@ -12,6 +12,7 @@ OPERATORS = {
     "op1_benchmark_decontamination": "decontaminate",
     "op3_best_fit_packing": "packing",
     "op4_toxicity": "toxicity",
+    "op6_personal_data": "personal_data",
     "op7_adaptive_quality_rules": "quality_rules",
     "op8_suffix_tree_lm_scoring": "suffix_tree_lm",
     "op10_chat_snapshot_collapse": "chat",
