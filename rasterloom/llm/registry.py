@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module and query of each operator.
 OPERATORS = {
     "op1_benchmark_decontamination": "decontaminate",
+    "op2_html_extraction": "html_text",
     "op3_best_fit_packing": "packing",
     "op4_toxicity": "toxicity",
     "op6_personal_data": "personal_data",
