@@ -13,6 +13,7 @@ OPERATORS = {
     "op2_html_extraction": "html_text",
     "op3_best_fit_packing": "packing",
     "op4_toxicity": "toxicity",
+    "op5_importance_resampling": "resampling",
     "op6_personal_data": "personal_data",
     "op7_adaptive_quality_rules": "quality_rules",
     "op8_suffix_tree_lm_scoring": "suffix_tree_lm",
