@@ -279,17 +279,17 @@ _OVER = f"WITH {_FINE}, o AS (SELECT yi, xi // 5 AS xi, value, v FROM fine)"
 def _resampled(method: str, what: str = "value") -> Callable:
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = resample(fine(spark, d, what), coarse(spark, d).grid, method).pixels
-        return out if what == "class" else _round(out, "value", to=9)
+        return out if what == "class" else _round(out, "value", to=8)
 
     run.__name__ = f"resample_{method}"
     return run
 
 
 for _m, _expr in {"average": "avg(v)", "max": "max(v)", "min": "min(v)", "med": "quantile_cont(v, 0.5)", "q1": "quantile_cont(v, 0.25)", "q3": "quantile_cont(v, 0.75)", "sum": "sum(v)", "rms": "sqrt(avg(v * v))"}.items():
-    query(f"{_OVER} SELECT yi, xi, round({_expr}, 9) AS value FROM o GROUP BY yi, xi")(_resampled(_m))
+    query(f"{_OVER} SELECT yi, xi, round({_expr}, 8) AS value FROM o GROUP BY yi, xi")(_resampled(_m))
 query(f"{_OVER}, n AS (SELECT yi, xi, value, count(*) AS n FROM o GROUP BY ALL) SELECT yi, xi, arg_max(value, n * 100 - value) AS value FROM n GROUP BY yi, xi")(_resampled("mode", "class"))
 # in y both grids are alike; in x a cell of the coarse grid has its centre in the middle of its third fine one
-query(f"WITH {_FINE} SELECT a.yi, CAST((a.xi - 2) // 5 AS INTEGER) AS xi, round(sum(b.v * (1 - abs(b.xi - a.xi) / 5.0)) / sum(1 - abs(b.xi - a.xi) / 5.0), 9) AS value FROM fine a JOIN fine b ON b.yi = a.yi AND abs(b.xi - a.xi) < 5 WHERE a.xi % 5 = 2 GROUP BY a.yi, a.xi")(_resampled("bilinear"))
+query(f"WITH {_FINE} SELECT a.yi, CAST((a.xi - 2) // 5 AS INTEGER) AS xi, round(sum(b.v * (1 - abs(b.xi - a.xi) / 5.0)) / sum(1 - abs(b.xi - a.xi) / 5.0), 8) AS value FROM fine a JOIN fine b ON b.yi = a.yi AND abs(b.xi - a.xi) < 5 WHERE a.xi % 5 = 2 GROUP BY a.yi, a.xi")(_resampled("bilinear"))
 
 
 def _cubic_sql(x: str) -> str:
@@ -297,7 +297,7 @@ def _cubic_sql(x: str) -> str:
 
 
 _X = "((b.xi - a.xi) / 5.0)"
-query(f"WITH {_FINE} SELECT a.yi, CAST((a.xi - 2) // 5 AS INTEGER) AS xi, round(sum(b.v * {_cubic_sql(_X)}) / sum({_cubic_sql(_X)}), 9) AS value FROM fine a JOIN fine b ON b.yi = a.yi AND abs(b.xi - a.xi) < 10 WHERE a.xi % 5 = 2 GROUP BY a.yi, a.xi")(_resampled("cubic"))
+query(f"WITH {_FINE} SELECT a.yi, CAST((a.xi - 2) // 5 AS INTEGER) AS xi, round(sum(b.v * {_cubic_sql(_X)}) / sum({_cubic_sql(_X)}), 8) AS value FROM fine a JOIN fine b ON b.yi = a.yi AND abs(b.xi - a.xi) < 10 WHERE a.xi % 5 = 2 GROUP BY a.yi, a.xi")(_resampled("cubic"))
 
 
 _BOTH = f"WITH {_FINE}, {_COARSE}, m AS (SELECT f.yi, f.xi, f.value AS p, c.value AS s, f.v FROM fine f JOIN coarse c ON c.yi = f.yi AND c.xi = f.xi // 5)"
