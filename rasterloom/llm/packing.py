@@ -31,9 +31,9 @@ from .textops import LOWER, NOSPACE, blocks, run_sums, span_hashes, utf8, word_s
 SIZE = 4096
 CLOSE = 1
 TOKENIZER = "word_bpe_49k.json"
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Distinct words whose ids a task remembers.
-KNOWN = 1 << 21
+KNOWN = 1 << 20
 
 
 class Words:
@@ -96,9 +96,8 @@ class Words:
             place = np.arange(len(n)) + len(self.start) - 1
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
             self.ids = np.concatenate([self.ids, ids])
-            keys = np.concatenate([self.keys, kinds[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.place = keys[order], np.concatenate([self.place, place])[order]
+            at = np.searchsorted(self.keys, kinds[new])
+            self.keys, self.place = np.insert(self.keys, at, kinds[new]), np.insert(self.place, at, place)
         w = self.place[np.searchsorted(self.keys, kinds)][inv] if len(kinds) else np.zeros(0, np.int64)
         n = self.start[w + 1] - self.start[w]
         size = run_sums(n, first) + 1

@@ -35,7 +35,7 @@ HIDDEN = 8
 GRAM_BITS, WORD_BITS, HEAD_BITS, LEARNED = 18, 13, 12, 4
 GRAMS = (4, 5, 6)
 N_IN = 5 + 2 * LEARNED
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 BATCH = 4096
 EPOCHS = 12
 
@@ -59,7 +59,7 @@ def _grams(text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     keys, owner, heads = [], [], []
     for k in GRAMS:
         m = np.maximum(n - k + 1, 1 if k == GRAMS[0] else 0)
-        own = np.repeat(np.arange(len(n)), m)
+        own = np.repeat(np.arange(len(n), dtype=np.int32), m)
         at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
         s = begin[own] + at
         keys.append((span_hashes(text, s, np.minimum(s + k, begin[own + 1])) >> np.uint64(64 - GRAM_BITS)).astype(np.int32))
@@ -274,8 +274,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     per = []
     for i in range(len(texts)):
         inv, first, text, begin, kinds = _types(LOWER[data[off[i] : off[i + 1]]], off[i : i + 2] - off[i])
-        gram = np.unique(_grams(text, begin)[0]) if len(kinds) else np.zeros(0, np.int64)
-        per.append((inv, first, text, begin, kinds, gram, np.unique((kinds >> np.uint64(64 - GRAM_BITS)).astype(np.int64))))
+        gram = np.unique(_grams(text, begin)[0]) if len(kinds) else np.zeros(0, np.int32)
+        per.append((inv.astype(np.int32), first, text, begin, kinds, gram, np.unique((kinds >> np.uint64(64 - GRAM_BITS)).astype(np.int32))))
     fold = np.random.default_rng(5).permutation(len(texts)) % 2
     learn = lambda ids: Leanings.learn([per[i][5] for i in ids], [per[i][6] for i in ids], labels[ids])
     other = [learn(np.flatnonzero(fold != f)) for f in (0, 1)]
@@ -304,6 +304,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
     net = Network()
     net.fit(np.array(xs), np.array(ws), np.array(hs), np.array(ons), y, weight, epochs)
+    final = learn(np.arange(len(texts)))
+    per.clear()
     # whole texts, each with the leanings of the other half
     logit = np.zeros(len(texts))
     for f in (0, 1):
@@ -316,7 +318,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     right = np.concatenate([[0], np.cumsum(~hit)]) / (~hit).sum() + (hit.sum() - np.concatenate([[0], np.cumsum(hit)])) / hit.sum()
     best = np.flatnonzero(right == right.max())
     lo, hi = max(best[0] - 1, 0), min(best[-1], len(s) - 1)
-    return Model(net, learn(np.arange(len(texts))), -float(s[lo] + s[hi]) / 2, prior)
+    return Model(net, final, -float(s[lo] + s[hi]) / 2, prior)
 
 
 def held_out(column: str = "doc_id") -> F.Column:
