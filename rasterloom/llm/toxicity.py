@@ -38,6 +38,8 @@ N_IN = 5 + 2 * LEARNED
 BLOCK = 1 << 21
 BATCH = 4096
 EPOCHS = 12
+#: A small sample takes more epochs, of smaller batches, until there are so many.
+LEAST_STEPS = 600
 
 
 def _types(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -81,8 +83,10 @@ class Leanings:
 
         def odds(parts: list[np.ndarray], size: int) -> np.ndarray:
             count = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(p for p, y in zip(parts, labels, strict=True) if y == v)]), minlength=size) for v in (0, 1)]
-            n = [(labels == v).sum() for v in (0, 1)]
-            return (np.log((count[1] + 0.5) / (n[1] + 1)) - np.log((count[0] + 0.5) / (n[0] + 1))).astype(np.float32)
+            n = [max(1, (labels == v).sum()) for v in (0, 1)]
+            # one more text, split as the labels are: what no text has leans to neither
+            more = [x / sum(n) for x in n]
+            return (np.log((count[1] + more[1]) / n[1]) - np.log((count[0] + more[0]) / n[0])).astype(np.float32)
 
         return Leanings(odds(grams, 1 << GRAM_BITS), odds(words, 1 << GRAM_BITS))
 
@@ -205,21 +209,24 @@ class Network:
     def fit(self, x: np.ndarray, words: np.ndarray, heads: np.ndarray, on: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, seed: int = 3, rate: float = 0.01) -> None:
         """x: (n, T, 5) fixed inputs; words, heads: (n, T) rows of the learned vectors. Adam."""
         r, n, at = np.random.default_rng(seed), len(y), 0
+        size = min(256, max(32, n // 32))
+        epochs = max(epochs, -(-LEAST_STEPS * size // n))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         q = {k: np.zeros_like(v) for k, v in self.p.items()}
         for epoch in range(epochs):
             order = r.permutation(n)
-            for i in range(0, n, 256):
-                b = order[i : i + 256]
+            for i in range(0, n, size):
+                b = order[i : i + size]
                 wk, hk, o = words[b].T, heads[b].T, on[b].T[:, :, None]
-                full = np.concatenate([x[b].transpose(1, 0, 2), self.p["words"][wk], self.p["heads"][hk]], axis=2)
+                # learned vectors of half of the words are left out, so that they aren't a memory of the sample
+                use = o * (r.random(o.shape) < 0.5)
+                full = np.concatenate([x[b].transpose(1, 0, 2), self.p["words"][wk] * use, self.p["heads"][hk] * use], axis=2).astype(np.float32)
                 g, dx = self.gradients(full, o, y[b], weight[b])
                 for name, key, cols in (("words", wk, slice(5, 5 + LEARNED)), ("heads", hk, slice(5 + LEARNED, N_IN))):
-                    size = len(self.p[name])
-                    part = (dx[:, :, cols] * o).reshape(-1, LEARNED)
-                    g[name] = np.stack([np.bincount(key.ravel(), part[:, c], size) for c in range(LEARNED)], axis=1).astype(np.float32)
+                    part = (dx[:, :, cols] * use).reshape(-1, LEARNED)
+                    g[name] = np.stack([np.bincount(key.ravel(), part[:, c], len(self.p[name])) for c in range(LEARNED)], axis=1).astype(np.float32)
                 at += 1
-                step = rate * (0.5 ** (epoch // 4))
+                step = rate * 0.5 ** (3 * epoch // epochs)
                 for k, d in g.items():
                     d = d + 1e-4 * self.p[k]
                     m[k] += 0.1 * (d - m[k])
