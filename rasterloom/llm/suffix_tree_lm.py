@@ -12,7 +12,7 @@ the context one byte shorter is at least `gain` nats a byte. Distributions are s
 the longest retained suffix of what precedes it (line feeds stand before the first byte).
 
 Beside it stands the unigram base: counts of all training tokens, add one. Words of a share of at least `p_word` (at most
-1 / p_word of them) are broadcast; the rest are looked up by a join on the 64-bit hash of the word.
+1 / p_word of them) and the end are broadcast; the rest are looked up by a join on the 64-bit hash of the word.
 
 Null texts count as empty: no words, one end. A null id counts as the empty string for the split. Repeated rows give a row
 each and count each. With no training text the tree is the uniform distribution. Extra columns aren't read.
@@ -213,7 +213,7 @@ def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, p_min: fl
         frequent = g.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("m")).where(F.col("m") >= F.lit(p_min) * F.lit(total))
         got = g.withColumn("ctx", F.shiftright("key", 8)).join(frequent, "ctx", "left_semi").select("key", "n").toPandas().sort_values("key")
         grams[d] = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-    hot = counts.where((F.col("kind") == 0) & (F.col("n") > 0) & (F.col("n") >= F.lit(p_word) * F.lit(n))).select("key", "n").toPandas().sort_values("key")
+    hot = counts.where((F.col("kind") == 0) & (F.col("n") > 0) & ((F.col("n") >= F.lit(p_word) * F.lit(n)) | (F.col("key") == END_KEY))).select("key", "n").toPandas().sort_values("key")
     tree = Tree.grow(grams, depth, gain)
     return Model(tree, hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64), int(n), int(v)), counts.where("kind = 0 AND n > 0").select("key", "n")
 

@@ -1,0 +1,117 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rasterloom.llm import personal_data as P
+from rasterloom.llm.textops import utf8
+
+from .common import docs, edge_rows, invented
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD = r"[0-9]([\x20-]?[0-9])+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+
+
+def luhn(s):
+    d = [int(c) for c in s][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def brute(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in re.finditer(EMAIL, text)]
+    out += [("ip", *m.span()) for m in re.finditer(IP, text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(CARD, text) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(PHONE, text) if 9 <= len(digits(m[0])) <= 15]
+
+
+@given(st.one_of(st.text("ab@.-+1 (9)é", max_size=60), st.text("0123456789 -.+@a", max_size=80), st.from_regex(EMAIL), st.from_regex(PHONE)))
+@settings(max_examples=1500, deadline=None)
+def test_base_spans_are_those_of_the_patterns(text):
+    assert P.base_spans(text) == brute(text)
+
+
+def test_base_spans_in_lines_of_personal_data():
+    for text, _ in P.labelled_table(seed=5, n=400):
+        assert P.base_spans(text) == brute(text)
+
+
+def test_held_out_accuracy_of_the_field():
+    field = P.default_field()
+    right = wrong = missed = 0
+    for text, spans in P.labelled_table(seed=77, n=300):
+        data, off = utf8(pa.array([text]))
+        found = {(s, e) for _, s, e in P.find(data, off, field).get(0, ((), (), ""))[1]}
+        want = {(s, e) for _, s, e in spans}
+        near = lambda x, y: any(a < z and b < e for b, e in y for a, z in [x])  # noqa: B023, E731
+        right += sum(near(x, found) for x in want)
+        missed += sum(not near(x, found) for x in want)
+        wrong += sum(not near(x, want) for x in found)
+    assert right >= 0.95 * (right + missed) and wrong <= 0.05 * right, (right, missed, wrong)
+
+
+def test_viterbi_is_the_best_path():
+    from itertools import product
+
+    r = np.random.default_rng(1)
+    n = len(P.LABELS)
+    f = P.Field(r.normal(size=(P.BUCKETS, n)), r.normal(size=(n, n)), r.normal(size=n))
+    sizes = [1, 2, 3, 3, 1]
+    feats = r.integers(0, P.BUCKETS, (sum(sizes), P.N_FEATURES))
+    first = np.cumsum([0, *sizes])
+    got = f.decode(feats, first)
+    for a, z in zip(first, first[1:], strict=False):
+        e = f.emissions(feats[a:z])
+        score = lambda y: f.start[y[0]] + sum(e[k, x] for k, x in enumerate(y)) + sum(f.move[p, q] for p, q in zip(y, y[1:], strict=False))  # noqa: B023, E731
+        assert tuple(got[a:z]) == max(product(range(n), repeat=int(z - a)), key=score)
+
+
+def test_offsets_are_code_points_and_long_texts_are_read_to_the_end(spark):
+    long = invented(random.Random(2), 40_000)
+    rows = [(1, "é\U0001f600 mail ann@ex.org"), (2, long + " ann@ex.org"), (3, "a" * 200_000 + "@"), (4, "1" * 100_000), (5, "1 " * 50_000), *((x or 0, t) for x, t in edge_rows() if x is None)]
+    got = {}
+    for r in P.spans_of(docs(spark, rows, extra=True)).collect():
+        got.setdefault(r.doc_id, [tuple(x) for x in r.base])
+    assert got[1] == [("email", 8, 18)] and got[2] == [("email", len(long) + 1, len(long) + 11)]
+    assert got[3] == got[4] == [] and got[5] == brute("1 " * 50_000)
+
+
+def test_query_columns(spark, tmp_path):
+    rows = [*edge_rows(), (50, "call +1 415 555 0100 or 10.0.0.1, card 4111 1111 1111 1111, a@b.co, password=hunter2hunter22")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = P.op6_personal_data(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        if r.doc_id is None:
+            continue
+        base = brute(text[r.doc_id] or "")
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[0] == k for b in base) for k in P.BASE)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{z}" for k, a, z in base).encode()).hexdigest()
+        assert {f"{k}:{a}:{z}" for k, a, z in base} <= set(r.spans.split(","))
+    assert "secret:" in [r for r in got if r.doc_id == 50][0].spans
+
+
+def test_redaction(spark):
+    d = docs(spark, [*edge_rows(), (50, "to ann@ex.org, or 10.0.0.1.")], extra=True)
+    got = P.redact(d)
+    assert got.schema == d.schema
+    after = {r.row: r for r in got.collect()}
+    for r in d.collect():
+        if r.doc_id == 50:
+            assert after[r.row].text == "to [EMAIL], or [IP]." and after[r.row].n_chars == len(after[r.row].text)
+        elif not re.search("[0-9@]", r.text or ""):
+            assert after[r.row] == r
+    assert P.redact(d.where("false")).count() == P.spans_of(d.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["in 1999 we saw 3,400 of 12% on 2020-10-11 at 10:30", "ISBN 978-3-1614-8410-0, v1.2.3, $12.50 and 1. 2. 3."])
+def test_clean_numbers_stay(text):
+    assert P.find(*utf8(pa.array([text])), P.default_field()) == {}
