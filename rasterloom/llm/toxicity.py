@@ -17,6 +17,7 @@ several labels of an id the toxic one counts. Only ids and texts are read; a sco
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -278,17 +279,21 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     if len(np.unique(labels)) < 2:
         return Model(None, None, 0.0, prior)
     data, off = utf8(pa.array(texts, pa.string()))
-    per = []
+    types = lambda i: _types(LOWER[data[off[i] : off[i + 1]]], off[i : i + 2] - off[i])
+    per = []  # distinct buckets only: words are read again below
     for i in range(len(texts)):
-        inv, first, text, begin, kinds = _types(LOWER[data[off[i] : off[i + 1]]], off[i : i + 2] - off[i])
+        _, _, text, begin, kinds = types(i)
         gram = np.unique(_grams(text, begin)[0]) if len(kinds) else np.zeros(0, np.int32)
-        per.append((inv.astype(np.int32), first, text, begin, kinds, gram, np.unique((kinds >> np.uint64(64 - GRAM_BITS)).astype(np.int32))))
+        per.append((gram, np.unique((kinds >> np.uint64(64 - GRAM_BITS)).astype(np.int32))))
     fold = np.random.default_rng(5).permutation(len(texts)) % 2
-    learn = lambda ids: Leanings.learn([per[i][5] for i in ids], [per[i][6] for i in ids], labels[ids])
+    learn = lambda ids: Leanings.learn([per[i][0] for i in ids], [per[i][1] for i in ids], labels[ids])
     other = [learn(np.flatnonzero(fold != f)) for f in (0, 1)]
     r = np.random.default_rng(11)
     xs, ws, hs, ons, ys = [], [], [], [], []
-    for i, (inv, first, text, begin, kinds, *_) in enumerate(per):
+    final = learn(np.arange(len(texts)))
+    per.clear()
+    for i in range(len(texts)):
+        inv, first, text, begin, kinds = types(i)
         if not len(kinds):
             continue
         x = other[fold[i]].inputs(text, begin, kinds)
@@ -301,8 +306,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
         picked = best if labels[i] else np.unique(np.append(best, r.integers(len(place), size=1)))
         for w in picked:
             xs.append(x[k[w]])
-            ws.append(words[k[w]])
-            hs.append(heads[k[w]])
+            ws.append(words[k[w]].astype(np.int32))
+            hs.append(heads[k[w]].astype(np.int32))
             ons.append(place[w] >= 0)
             ys.append(labels[i])
     y = np.array(ys, np.float32)
@@ -311,8 +316,6 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
     net = Network()
     net.fit(np.array(xs), np.array(ws), np.array(hs), np.array(ons), y, weight, epochs)
-    final = learn(np.arange(len(texts)))
-    per.clear()
     # whole texts, each with the leanings of the other half
     logit = np.zeros(len(texts))
     for f in (0, 1):
@@ -333,7 +336,8 @@ def held_out(column: str = "doc_id") -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL, max_chars: int = MAX_CHARS) -> Model:
-    """From labels of rows that aren't held out. Only the sample's ids, at most 2 x per_label, are broadcast."""
+    """From labels of rows that aren't held out. Only the sample's ids, at most 2 x per_label, are broadcast; one task learns, from at most 4 x per_label rows, and the driver gets the model."""
+    ready(docs.sparkSession)
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label")).where(~held_out(id_col))
     pick = None
     for v in (0, 1):
@@ -341,8 +345,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         pick = part if pick is None else pick.unionByName(part)
     pick = pick.withColumnRenamed(id_col, "_id")
     got = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(pick), F.col("_doc") == F.col("_id")).where(F.length("_text") <= max_chars)
-    got = got.select("_doc", "_text", "_label").limit(4 * per_label).toPandas().sort_values(["_doc", "_text"], kind="stable")
-    return fit(got["_text"].tolist(), got["_label"].to_numpy(np.int64))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:2])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64)))], pa.binary())], names=["model"])
+
+    found = got.select("_doc", "_text", "_label").limit(4 * per_label).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else fit([], np.zeros(0, np.int64))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
