@@ -4,12 +4,18 @@ A text is its tokens (lower-cased A-Z, cut at white space), one space between th
 token holds); that form and the tokens determine each other, so the probability of the bytes is that of the tokens.
 
 Training counts every (depth + 1)-gram of bytes of all training texts; shorter contexts follow from those. A context is a
-candidate if its share of all training bytes is at least `p_min`, so one depth has at most 1 / p_min of them: the size of
-what the driver collects and broadcasts is bounded whatever the corpus. A candidate is retained if it, or one that ends in
-it, passes the divergence test: its share times the Kullback-Leibler divergence of its next-byte distribution from that of
-the context one byte shorter is at least `gain` nats a byte. Distributions are smoothed into that of the shorter context
-(Witten-Bell weights), at the root into the uniform one, so no text has probability zero. A byte is scored by the state of
-the longest retained suffix of what precedes it (line feeds stand before the first byte).
+candidate if it occurs at least `least` times, an absolute count, so the tree grows with the corpus. A candidate is retained
+if it, or one that ends in it, passes the divergence test: its count times the Kullback-Leibler divergence of its next-byte
+distribution from that of the context one byte shorter is at least `evidence` nats. (`p_min` and `gain` give the two bounds
+as shares of all training bytes instead.) Distributions are smoothed into that of the shorter context (Witten-Bell weights),
+at the root into the uniform one, so no text has probability zero. A byte is scored by the state of the longest retained
+suffix of what precedes it (line feeds stand before the first byte).
+
+Contexts are dealt by their last two bytes, which all suffixes of two bytes or more share, so each shard of the tree is grown
+by a task from its own grams; only contexts of up to one byte are the driver's. States are sparse: the log probability of
+each byte met after a context, and the log weight of what the shorter context gives for others. The shards stand in a table
+and go to the executors as broadcast blocks of at most `block_bytes` (or one larger shard), of which the driver and a task
+hold one at a time.
 
 Beside it stands the unigram base: counts of all training tokens, add one. Words of a share of at least `p_word` (at most
 1 / p_word of them) and the end are broadcast; the rest are looked up by a join on the 64-bit hash of the word.
@@ -20,8 +26,9 @@ each and count each. With no training text the tree is the uniform distribution.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +39,14 @@ from .runtime import load, ready, table
 from .textops import LOWER, NOSPACE, blocks, run_sums, span_hashes, utf8, word_spans
 
 DEPTH = 5
-P_MIN = 1e-5
-GAIN = 2e-6
+#: Occurrences of a candidate: what stands once in the corpus tells nothing that recurs.
+LEAST = 2
+#: Nats that the divergence test asks for.
+EVIDENCE = 4.0
+SHARDS = 256
+#: Bytes of states in one broadcast block, and blocks of text that a task scores against each when there are several.
+BLOCK_BYTES = 1 << 26
+TEXTS = 8
 P_WORD = 5e-7
 END = 10
 #: The end token's key among word hashes (zero is given to no word).
@@ -119,75 +132,99 @@ def gather(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def _sums(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, sorted, with the sums of their counts."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    cut = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[cut], np.add.reduceat(count[order], cut) if len(cut) else np.zeros(0, np.int64)
+
+
+#: Sorted contexts with the log10 weight of the shorter one, and sorted grams (context and next byte) with log10 probability, of one depth.
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def grow(code: np.ndarray, count: np.ndarray, first: np.ndarray, depth: int, least: float, evidence: float) -> dict[int, Level]:
+    """The retained states of 2 to depth bytes among grams (codes of depth earlier bytes and the next one) of some two last bytes. first[x, c]: probability of c after x."""
+    grams, probs, contexts, backs, owners, parents, keep = {}, {}, {}, {}, {}, {}, {}
+    for d in range(2, depth + 1):
+        g, n = _sums(code & ((1 << 8 * (d + 1)) - 1), count)
+        ctx, at = np.unique(g >> 8, return_inverse=True)
+        total = np.bincount(at, n, len(ctx))
+        kinds = np.bincount(at, minlength=len(ctx))
+        ok = total >= least
+        on = ok[at]
+        g, n, at = g[on], n[on], (np.cumsum(ok) - 1)[at[on]]
+        ctx, total, kinds = ctx[ok], total[ok], kinds[ok]
+        # a candidate's suffixes occur as often at least, and each of its grams without the earliest byte was met
+        short = g & ((1 << 8 * d) - 1)
+        up = first[short >> 8, short & 255] if d == 2 else probs[d - 1][np.searchsorted(grams[d - 1], short)]
+        p = (n + kinds[at] * up) / (total + kinds)[at]
+        keep[d] = np.bincount(at, n * np.log(n / total[at] / up), len(ctx)) >= evidence
+        if d > 2:
+            parents[d] = np.searchsorted(contexts[d - 1], ctx & ((1 << 8 * (d - 1)) - 1))
+        grams[d], probs[d], contexts[d], owners[d], backs[d] = g, p, ctx, at, np.log10(kinds / (total + kinds))
+    # a state that a retained one ends in stays
+    for d in range(depth, 2, -1):
+        keep[d - 1][parents[d][keep[d]]] = True
+    out = {}
+    for d, k in keep.items():
+        on = k[owners[d]]
+        out[d] = contexts[d][k], backs[d][k].astype(np.float32), grams[d][on], np.log10(probs[d][on]).astype(np.float32)
+    return out
+
+
+def _merged(parts: list[dict[int, Level]], depth: int) -> dict[int, Level]:
+    out = {}
+    for d in range(2, depth + 1):
+        ctx, back, g, p = (np.concatenate([x[d][k] for x in parts]) for k in range(4))
+        i, j = np.argsort(ctx, kind="stable"), np.argsort(g, kind="stable")
+        out[d] = ctx[i], back[i], g[j], p[j]
+    return out
+
+
+def refine(block: dict[int, Level], code: np.ndarray, value: np.ndarray) -> None:
+    """value: log10 probability of sorted grams by contexts of up to one byte; where the block has longer ones, theirs."""
+    on = np.arange(len(code))
+    for d, (ctx, back, grams, p) in block.items():
+        if not len(ctx) or not len(on):
+            return
+        own = code[on] & ((1 << 8 * (d + 1)) - 1)
+        at = np.minimum(np.searchsorted(ctx, own >> 8), len(ctx) - 1)
+        ok = ctx[at] == own >> 8
+        on, own, at = on[ok], own[ok], at[ok]
+        k = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        value[on] = np.where(grams[k] == own, p[k], value[on] + back[at])
+
+
 @dataclass
 class Tree:
-    """States in order of depth; child[s, c]: the state that extends s by one earlier byte of class c, or -1; logp[s, c]."""
+    """head[x, c]: log10 probability of c by the longest retained context of x of up to one byte; ones: those of one byte; blocks: broadcasts of the longer states by depth."""
 
-    classes: np.ndarray
-    child: np.ndarray
-    logp: np.ndarray
+    head: np.ndarray
+    root: np.ndarray
+    ones: np.ndarray
+    present: np.ndarray
+    blocks: list
     depth: int
 
-    @staticmethod
-    def grow(grams: dict[int, tuple[np.ndarray, np.ndarray]], depth: int, gain: float) -> Tree:
-        """grams[d]: sorted codes of d earlier bytes and the next one (lowest), with counts, for contexts that are candidates."""
-        code, count = grams.get(0, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-        present = code & 255
-        classes = np.full(256, len(present), dtype=np.int64)  # one class for bytes that training lacks
-        classes[present] = np.arange(len(present))
-        a = len(present) + 1
-        uniform = np.full(a, 1 / 256)
-        total = count.sum()
-        counts = np.zeros(a)
-        counts[:-1] = count
-        kinds = max(1, len(present))
-        root = (counts + kinds * uniform) / (total + kinds)
-        root[-1] = kinds / 256 / (total + kinds)
-        probs, contexts, parents, worth = [root[None]], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.ones(1, bool)]
-        at = 0
-        for d in range(1, depth + 1):
-            code, count = grams.get(d, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            ctx, inv = np.unique(code >> 8, return_inverse=True)
-            # the context one byte shorter drops the earliest byte
-            short = ctx & ((1 << 8 * (d - 1)) - 1)
-            above = np.searchsorted(contexts[-1], short)
-            dense = np.zeros((len(ctx), a))
-            dense[inv, classes[code & 255]] = count
-            n, k = dense.sum(1, keepdims=True), (dense > 0).sum(1, keepdims=True)
-            up = probs[-1][above]
-            p = (dense + k * up) / (n + k)
-            q = dense / np.maximum(n, 1)
-            kl = np.where(dense > 0, q * np.log(np.maximum(q, 1e-300) / up), 0).sum(1)
-            probs.append(p)
-            contexts.append(ctx)
-            parents.append(above + at)
-            worth.append(n[:, 0] / max(1, total) * kl >= gain)
-            at += len(contexts[-2])
-        # a state that a retained one ends in stays
-        start = np.cumsum([0, *map(len, contexts)])
-        keep = np.concatenate(worth)
-        for d in range(depth, 0, -1):
-            keep[parents[d][keep[start[d] : start[d + 1]]]] = True
-        number = np.cumsum(keep) - 1
-        child = np.full((int(keep.sum()), a), -1, dtype=np.int32)
-        for d in range(1, depth + 1):
-            own = np.flatnonzero(keep[start[d] : start[d + 1]])
-            earliest = classes[contexts[d][own] >> 8 * (d - 1) & 255]
-            child[number[parents[d][own]], earliest] = number[start[d] + own]
-        logp = np.concatenate([x[keep[s : s + len(x)]] for x, s in zip(probs, start, strict=False)])
-        return Tree(classes, child, np.log10(logp).astype(np.float32), depth)
-
-    def score(self, text: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte of padded text (the pads too)."""
-        c = self.classes[text].astype(np.int32)
-        state = np.zeros(len(c), np.int32)
-        on = np.arange(len(c))
-        for k in range(1, self.depth + 1):
-            nxt = self.child[state[on], c[on - k]]  # of the first pads, which nothing scores, this wraps around
-            ok = nxt >= 0
-            on = on[ok]
-            state[on] = nxt[ok]
-        return self.logp[state, c]
+    @property
+    def child(self) -> list[tuple[int, int]]:
+        """All states as (bytes, context)."""
+        more = [(d, int(c)) for b in self.blocks for d, level in b.value.items() for c in level[0]]
+        return [(0, 0), *((1, int(x)) for x in np.flatnonzero(self.ones)), *more]
+
+    @property
+    def logp(self) -> np.ndarray:
+        """log10 probability by each state of each byte of training, and of one that it lacks: a dense form, for small trees."""
+        absent = np.flatnonzero(~self.present)[:1]
+        bytes_ = np.concatenate([np.flatnonzero(self.present), absent])
+        out = np.zeros((len(self.child), len(bytes_)))
+        for k, (d, ctx) in enumerate(self.child):
+            out[k] = self.root[bytes_] if d == 0 else self.head[ctx & 255][bytes_]
+            for b in self.blocks:
+                refine({e: x for e, x in b.value.items() if e <= d}, (ctx << 8) + bytes_, out[k])
+        return out
 
 
 @dataclass
@@ -199,40 +236,81 @@ class Model:
     v: int
 
 
-def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, p_min: float = P_MIN, gain: float = GAIN, p_word: float = P_WORD) -> tuple[Model, DataFrame]:
-    """The model, and the counts (key, n) of all training tokens."""
+def states(grams: DataFrame, first: np.ndarray, depth: int, least: float, evidence: float) -> DataFrame:
+    """(size, states): the retained states of each shard of grams (key, n), pickled, and their bytes."""
+    sent = grams.sparkSession.sparkContext.broadcast(first)
+
+    def run(part: pa.Table) -> pa.Table:
+        found = grow(part["key"].to_numpy(), part["n"].to_numpy(), sent.value, depth, least, evidence)
+        size = sum(x.nbytes for level in found.values() for x in level)
+        return pa.table({"size": pa.array([size], pa.int64()), "states": pa.array([pickle.dumps(found)], pa.binary())})
+
+    dealt = grams.select(F.pmod(F.hash(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(SHARDS)).alias("shard"), "key", "n")
+    return dealt.groupBy("shard").applyInArrow(run, "size long, states binary")
+
+
+def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, p_min: float | None = None, gain: float | None = None, p_word: float = P_WORD, least: float = LEAST, evidence: float = EVIDENCE, block_bytes: int = BLOCK_BYTES) -> tuple[Model, DataFrame]:
+    """The model, and the counts (key, n) of all training tokens. p_min and gain, where given, stand for least and evidence as shares of all training bytes. depth: 2 to 6."""
     spark = ready(docs.sparkSession)
     counts = table(gather(docs, text_col, depth), "counts")
     n, v = counts.where("kind = 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    total = counts.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    grams = {}
     g = counts.where("kind = 1").select("key", "n")
-    for d in range(depth, -1, -1):
-        mask = (1 << 8 * (d + 1)) - 1
-        g = g.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")) if d < depth else g
-        frequent = g.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("m")).where(F.col("m") >= F.lit(p_min) * F.lit(total))
-        got = g.withColumn("ctx", F.shiftright("key", 8)).join(frequent, "ctx", "left_semi").select("key", "n").toPandas().sort_values("key")
-        grams[d] = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    pairs = g.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    two = np.zeros((256, 256))
+    two[pairs["key"].to_numpy(np.int64) >> 8, pairs["key"].to_numpy(np.int64) & 255] = pairs["n"].to_numpy(np.int64)
+    total, count = two.sum(), two.sum(0)
+    least = least if p_min is None else p_min * total
+    evidence = evidence if gain is None else gain * total
+    kinds = max(1, int((count > 0).sum()))
+    root = (count + kinds / 256) / (total + kinds)
+    m, k = two.sum(1, keepdims=True), (two > 0).sum(1, keepdims=True)
+    first = np.where(m > 0, (two + k * root) / np.maximum(m + k, 1), root)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        worth = np.where(two > 0, two * np.log(two / m / root), 0).sum(1)
+    ones = (m[:, 0] > 0) & (m[:, 0] >= least) & (worth >= evidence)
+    blocks, held, size = [], [], 0
+    for row in table(states(g, first, depth, least, evidence), "states").toLocalIterator():
+        if held and size + row[0] > block_bytes:
+            blocks.append(spark.sparkContext.broadcast(_merged(held, depth)))
+            held, size = [], 0
+        held.append(pickle.loads(row[1]))
+        ones[held[-1][2][0] & 255] = True
+        size += row[0]
+    if held:
+        blocks.append(spark.sparkContext.broadcast(_merged(held, depth)))
     hot = counts.where((F.col("kind") == 0) & (F.col("n") > 0) & ((F.col("n") >= F.lit(p_word) * F.lit(n)) | (F.col("key") == END_KEY))).select("key", "n").toPandas().sort_values("key")
-    tree = Tree.grow(grams, depth, gain)
+    tree = Tree(np.log10(np.where(ones[:, None], first, root)), np.log10(root), ones, count > 0, blocks, depth)
     return Model(tree, hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64), int(n), int(v)), counts.where("kind = 0 AND n > 0").select("key", "n")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, n_known, base_score, score: one row per row of docs."""
     spark = ready(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(model)
+    depth, trees = model.tree.depth, model.tree.blocks
+    sent = spark.sparkContext.broadcast(replace(model, tree=replace(model.tree, blocks=[])))
+    names = [id_col, "n_tokens", "known", "base", "score", "rest", "times"]
+
+    def closed(held: list) -> Iterator[pa.RecordBatch]:
+        """Scores of the blocks of text held, against each block of states in turn."""
+        head = sent.value.tree.head
+        values = [head[code >> 8 & 255, code & 255] for _, code, _, _ in held]
+        for b in trees:
+            for (_, code, _, _), value in zip(held, values, strict=True):
+                refine(b.value, code, value)
+            if len(trees) > 1:
+                b.__dict__.pop("_value", None)
+        for (cols, _, inverse, first), value in zip(held, values, strict=True):
+            yield pa.RecordBatch.from_arrays([*cols[:4], pa.array(run_sums(value[inverse], first)), *cols[4:]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
-        depth, floor = m.tree.depth, np.log10(m.n + m.v + 1)
+        floor, held = np.log10(m.n + m.v + 1), []
         for batch in batches:
             data, off = utf8(batch.column(1))
             for i, j in blocks(off):
                 b = LOWER[data[off[i] : off[j]]]
                 text, begin, s, e, first, n_words = padded(b, off[i : j + 1] - off[i], depth)
-                lp = m.tree.score(text).astype(np.float64)
-                lp[~_scored(begin, depth)] = 0
+                code, inverse = np.unique(_codes(text, depth + 1)[_scored(begin, depth)].view(np.int64), return_inverse=True)
                 key = _keys(span_hashes(b, s, e))
                 hot = m.hot_keys
                 at = np.searchsorted(hot, key)
@@ -250,18 +328,20 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                 cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rest[1:] != rest[:-1])])) if len(doc) else np.zeros(0, np.int64)
                 times = np.diff(np.append(cut, len(doc)))
                 per = np.searchsorted(doc[cut], np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, j - i),
-                        pa.array(n_words + 1, pa.int64()),
-                        pa.array(run_sums(known, first) + (end > 0), pa.int64()),
-                        pa.array(run_sums(value, first) + np.log10(end + 1.0) - (n_words + 1) * floor),
-                        pa.array(run_sums(lp, begin)),
-                        pa.ListArray.from_arrays(pa.array(per), pa.array(rest[cut], pa.int64())),
-                        pa.ListArray.from_arrays(pa.array(per), pa.array(times, pa.int32())),
-                    ],
-                    names=[id_col, "n_tokens", "known", "base", "score", "rest", "times"],
-                )
+                cols = [
+                    batch.column(0).slice(i, j - i),
+                    pa.array(n_words + 1, pa.int64()),
+                    pa.array(run_sums(known, first) + (end > 0), pa.int64()),
+                    pa.array(run_sums(value, first) + np.log10(end + 1.0) - (n_words + 1) * floor),
+                    pa.ListArray.from_arrays(pa.array(per), pa.array(rest[cut], pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(per), pa.array(times, pa.int32())),
+                ]
+                held.append((cols, code, inverse.astype(np.int32), begin - depth * np.arange(len(begin))))
+                if len(held) >= (TEXTS if len(trees) > 1 else 1):
+                    yield from closed(held)
+                    held = []
+        if held:
+            yield from closed(held)
 
     kind = docs.schema[id_col].dataType.simpleString()
     cols = f"`{id_col}` {kind}, n_tokens long, known long, base double, score double, rest array<long>, times array<int>"

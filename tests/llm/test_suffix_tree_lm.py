@@ -78,6 +78,21 @@ def test_distributions_sum_to_one(spark):
     assert abs(p[:, :-1].sum(1) + absent * p[:, -1] - 1).max() < 1e-4
 
 
+@pytest.mark.parametrize("block_bytes", [1, 1 << 26])
+def test_what_recurs_a_few_times_is_learned_however_large_the_corpus(spark, block_bytes):
+    r = random.Random(2)
+    rare = "aaq1 bbq2 aaq1 bbq2"
+    rows = [(k, " ".join(r.choice(("ba", "ab", "aab", "bba")) for _ in range(4000))) for k in range(60)] + [(100, rare), (101, rare), (102, rare)]
+    assert 6 / sum(len(t) for _, t in rows) < 1e-5
+    model, counts = L.train(docs(spark, rows), block_bytes=block_bytes)
+    assert (len(model.tree.blocks) > 1) == (block_bytes == 1)
+    assert (2, int.from_bytes(b"aq")) in model.tree.child
+    want = Brute([t for _, t in rows], 5, L.LEAST / sum(len(byte_form(t, 0)) for _, t in rows), L.EVIDENCE)
+    want.kept = {c.to_bytes(d) for d, c in model.tree.child}
+    got = L.score(docs(spark, [(1, rare), (2, "ab aab qzxq zz")]), model, counts).orderBy("doc_id").collect()
+    assert all(math.isclose(g.score, want.score(t), rel_tol=1e-4) for g, t in zip(got, (rare, "ab aab qzxq zz"), strict=True))
+
+
 def test_query(spark, tmp_path):
     rows = [*edge_rows(), *((100 + k, invented(random.Random(k), 50)) for k in range(30))]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
