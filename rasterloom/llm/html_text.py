@@ -4,7 +4,9 @@ Markup is stripped to lines, one for each block, with the text that isn't part o
 sidebars, notices, adverts, forms, reader comments) counted as empty lines, so that a run of article lines starts with a surge
 of the length distribution and ends with a dive to nothing. Over all lines goes a sliding window that sums lengths; a
 surge point is where the sum passes the page's threshold, a dive point where the lines have fallen to nothing, and the lines
-between stay. Where the page marks its article (article, main, articleBody, or a block so named), lines outside it count as
+between stay. An element counts as furniture if all words of one of its class names or its id say so, unless it marks an
+article itself; a marked article inside furniture (but for reader comments and the like of nav and aside) is the text where
+it is longer than what the page gives without it. Where the page marks its article (article, main, articleBody, or a block so named), lines outside it count as
 empty and the threshold is zero, so short first and last paragraphs stay; only a page that marks none needs a threshold,
 and there lines that are mostly links count as empty too.
 
@@ -37,6 +39,15 @@ _OWN_END = frozenset("p li dt dd td th tr option".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot banner sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices notification notifications alert alerts disclaimer sidebar sidebars menu menus nav navbar navigation navigate breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond replies share sharing shares social related recommended recommendation recommendations newsletter subscribe subscription signup signin login popup popups modal overlay widget widgets pagination pager paging copyright search searchbox skip tagcloud trending mostread".split()
 )
+#: Words that may stand beside those in the name of a class; with any other (has-sidebar, related-work) it isn't one of furniture.
+_BESIDE = frozenset("site page main left right top bottom primary secondary global list box bar block container wrapper wrap section area link links button buttons icon icons item items slot unit inner outer form sticky fixed mobile desktop post article entry user reader".split())
+#: Of those, what an element that marks an article is not.
+_NOT_ARTICLE = frozenset("comment comments related promo ad ads advert advertisement sponsored recommended teaser".split())
+#: Furniture whose articles are readers'.
+_REPLIES = frozenset("comment comments commentlist disqus respond replies".split())
+#: Words that also tell what a paragraph of an article is about.
+_TOPICS = frozenset("social related notice notices alert alerts search skip trending recommended recommendation recommendations disclaimer copyright banner overlay modal menu menus promotion replies share sharing shares subscription".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th span em strong b i".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _MARKED = re.compile(r"(?i)(?:^|[\s_-])(?:article(?:[_-]?(?:body|content|text))?|post[_-]?(?:body|content|text)|entry[_-]?content|story[_-]?(?:body|content|text)|main[_-]?(?:content|text)|content[_-]?(?:body|main|text)?|post|story|entry)(?:$|\s)")
 _ATTRIBUTE = re.compile(r"""(?i)(?:^|[\s"'/])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=$|[\s"'/>])""")
@@ -116,25 +127,37 @@ class _Scanner:
             start(name, attributes)
 
 
-def _away(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element isn't part of the article. inside: it stands in a marked article."""
+def _named(value: str, words: frozenset) -> set[str]:
+    """Those of words that a class name in value consists of, but for words beside."""
+    out = set()
+    for name in value.split():
+        parts = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+        if parts <= words | _BESIDE:
+            out |= parts & words
+    return out
+
+
+def _away(name: str, attributes: str, inside: bool) -> int:
+    """Whether an element isn't part of the article: 1 unless it holds the page's, 2 in any case. inside: it stands in a marked article."""
     if name in _AWAY or name == "header" and not inside:
-        return True
+        return 1 if name == "form" else 2
     if not attributes:
-        return False
+        return 0
+    out, rank = 0, _rank(name, attributes)
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key == "role" and value in _ROLES:
-            return True
-        if key in ("class", "id") and name not in ("body", "html", "article", "main"):
-            words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower())
-            if not _WORDS.isdisjoint(words) or "header" in words and not inside:
-                return True
-        if key in ("class", "id") and name in ("article",) and not {"comment", "comments", "related", "promo", "ad", "teaser"}.isdisjoint(re.findall("[a-z]+", value)):
-            return True
-    return False
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
+            return 2
+        if key == "role" and value.lower() in _ROLES:
+            out = 1
+        if key in ("class", "id") and name not in ("body", "html", "main"):
+            words = _named(value, _NOT_ARTICLE if rank else _WORDS if inside else _WORDS | {"header"})
+            if inside and name in _TEXT:
+                words -= _TOPICS
+            if words & _REPLIES or rank and words:
+                return 2
+            out = out or int(bool(words))
+    return out
 
 
 def _rank(name: str, attributes: str) -> int:
@@ -155,12 +178,13 @@ def _rank(name: str, attributes: str) -> int:
     return 0
 
 
-def lines(html: str) -> list[tuple[str, int, int, bool]]:
-    """Blocks in page order: text, characters of it in links, rank of the container, whether it is part of the page's furniture."""
-    out: list[tuple[str, int, int, bool]] = []
+def lines(html: str) -> list[tuple[str, int, int, int]]:
+    """Blocks in page order: text, characters of it in links, rank of the container, and 1 if it is part of the page's furniture, 2 if it is of a marked article in furniture."""
+    out: list[tuple[str, int, int, int]] = []
     parts: list[str] = []
     linked = 0
-    state = {"skip": "", "depth": 0, "link": 0}
+    state = {"skip": "", "depth": 0, "link": 0, "away": 0}
+    lifts: list[tuple[int, dict]] = []  # marked articles in furniture: place in held, and the state to return to
     held: list[tuple[str, int]] = []  # open containers that mark the article, as (name, rank); others of their names count with rank 0
     lower = None
 
@@ -169,7 +193,7 @@ def lines(html: str) -> list[tuple[str, int, int, bool]]:
         if parts:
             s = " ".join(unescape("".join(parts)).split())
             if s:
-                out.append((s, min(linked, len(s)), max((r for _, r in held), default=0), bool(state["skip"])))
+                out.append((s, min(linked, len(s)), max((r for _, r in held), default=0), 1 if state["skip"] else 2 * bool(lifts)))
             parts.clear()
             linked = 0
 
@@ -197,12 +221,16 @@ def lines(html: str) -> list[tuple[str, int, int, bool]]:
             elif name in _BLOCK and state["skip"] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "span"):
                 state["skip"] = ""
             if state["skip"]:
-                return
+                if state["away"] == 2 or _rank(name, attributes) < 2 or _away(name, attributes, False):
+                    return
+                close_block()
+                lifts.append((len(held), {k: state[k] for k in ("skip", "depth", "away")}))
+                state["skip"] = ""
         if name == "a":
             state["link"] += 1
-        if _away(name, attributes, any(r for _, r in held)):
+        if away := _away(name, attributes, any(r for _, r in held)):
             close_block()
-            state["skip"], state["depth"] = name, 1
+            state["skip"], state["depth"], state["away"] = name, 1, away
             return
         rank = _rank(name, attributes)
         if rank or any(n == name for n, _ in held):
@@ -228,7 +256,10 @@ def lines(html: str) -> list[tuple[str, int, int, bool]]:
             state["link"] = max(0, state["link"] - 1)
         for k in range(len(held) - 1, -1, -1):
             if held[k][0] == name:
+                close_block()
                 del held[k:]
+                while lifts and lifts[-1][0] >= len(held):
+                    state.update(lifts.pop()[1])
                 break
 
     def text(s: str) -> None:
@@ -264,10 +295,7 @@ def surges(lengths: list[int], threshold: int, window: int = WINDOW) -> list[tup
     return out
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    found = lines(html)
+def _chosen(found: list[tuple[str, int, int, int]]) -> list[str]:
     best = max((rank for _, _, rank, away in found if not away), default=0)
     if best:
         lengths, threshold = [0 if away or rank < best else len(s) for s, _, rank, away in found], 0
@@ -276,7 +304,18 @@ def main_text(html: str | None) -> str:
     runs = surges(lengths, threshold)
     if not runs and threshold:  # a page of a few short lines has no surge
         runs = surges(lengths, 0)
-    return "\n".join(found[k][0] for a, z in runs for k in range(a, z) if lengths[k])
+    return [found[k][0] for a, z in runs for k in range(a, z) if lengths[k]]
+
+
+def main_text(html: str | None) -> str:
+    if not html:
+        return ""
+    found = lines(html)
+    out = _chosen(found)
+    if any(away == 2 for *_, away in found):
+        held = _chosen([(s, link, rank, 0 if away == 2 else 1) for s, link, rank, away in found])
+        out = max(out, held, key=lambda x: sum(map(len, x)))
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -40,6 +40,24 @@ def test_pages(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        *[(f"<div {w}><p>Site</p><article><p>{P}</p><div class='ad'>{P} buy</div><p>End.</p></article></div><p>Foot</p>", f"{P}\nEnd.") for w in ("class='site has-sidebar'", "id=content class=with-comments", "class='post-content no-sidebar'", "class='search-result-page'", "class='sidebar'", "role=search")],
+        (f"<form id=aspnetForm><div><article><p>{P}</p></article></div></form>", P),
+        (f"<div class='post-content widget'><p>{P}</p></div>", P),
+        (f"<article class='post comment-open'><p>{P}</p></article>", P),
+        (f"<article><p class='social'>{P}</p><div class='related-work'><p>Works.</p></div><p>End.</p></article>", f"{P}\nWorks.\nEnd."),
+        (f"<main><h1>Top</h1><div class='search'><article><p>{P}</p></article></div></main>", P),
+        (f"<main><p>{P}</p><div class='related'><article><p>Teaser</p></article></div><p>End.</p></main>", f"{P}\nEnd."),
+        (f"<div><p>{P} body</p><p>{P}</p></div><section id='comments'><article><p>{P * 9} reader</p></article></section>", f"{P} body\n{P}"),
+        (f"<article><p>{P}</p></article><aside><article><p>{P * 9}</p></article></aside><div class='site-footer'>f</div>", P),
+    ],
+)
+def test_names_of_wrappers_and_paragraphs_lose_no_article(html, text):
+    assert main_text(html) == text
+
+
 def test_generated_pages_give_their_articles():
     r = random.Random(6)
     for k in range(60):
