@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .fingerprints import simhash
@@ -155,24 +156,53 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp, component): component is the least id reachable over links."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, fp, component, root): root is the least fingerprint reachable over links."""
     fps = table(fingerprints(docs, id_col, text_col), "fps")
     nodes = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
     roots = components(fingerprint_links(nodes.select("fp")))
     least = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     linked = least.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
-    of = least.join(linked, "root", "left").select("fp", F.coalesce("least", "rep").alias("component"))
-    return fps.join(of, "fp").select(id_col, "fp", "component")
+    of = least.join(linked, "root", "left").select("fp", F.coalesce("least", "rep").alias("component"), "root")
+    return fps.join(of, "fp").select(id_col, "fp", "component", "root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, fp, component): component is the least id reachable over links."""
+    return _rooted(docs, id_col, text_col).select(id_col, "fp", "component")
+
+
+def _marked(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with a last column _row_fp, the fingerprint."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = simhash(*utf8(b.column(place))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, "_row_fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_row_fp", LongType())]))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one of least id; all columns stay. Rows that repeat an id count as one document."""
-    found = table(near_duplicates(docs, id_col, text_col), "components")
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("_keep")).distinct()
-    out = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
-    if not found.groupBy(id_col).count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
+    """docs with one row of each component, one of least id (null after all others) and then of least fingerprint; all columns stay. Ids may be null or repeat, in one component or several."""
+    found = table(_rooted(docs, id_col, text_col), "components")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("fp").alias("fp"))).alias("x")
+    pick = table(found.groupBy("root").agg(first).select(F.col("x.id").alias("_pick"), F.col("x.fp").alias("_pick_fp")), "picks")
+    many = table(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_many")).count().where("count > 1").select("_many"), "many")
+    repeated = not many.isEmpty()
+    single = pick.where("_pick IS NOT NULL")
+    if repeated:
+        single = single.join(many, single["_pick"] == many["_many"], "left_anti")
+    out = docs.join(single, docs[id_col] == single["_pick"], "left_semi")
+    # an id that doesn't tell rows apart: the fingerprint goes with it, which no two components share
+    rest = [docs.where(docs[id_col].isNull())] if not pick.where("_pick IS NULL").isEmpty() else []
+    if repeated:
+        rest.append(docs.join(many, docs[id_col] == many["_many"], "left_semi"))
+    for part in rest:
+        part = _marked(part, text_col)
+        part = part.join(pick, part[id_col].eqNullSafe(pick["_pick"]) & (part["_row_fp"] == pick["_pick_fp"]), "left_semi")
+        out = out.unionByName(part.dropDuplicates([id_col, "_row_fp"]).drop("_row_fp"))
     return out
 
 

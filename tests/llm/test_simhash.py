@@ -89,6 +89,21 @@ def test_documents_match_brute_force(spark):
     assert kept.columns == docs(spark, rows, extra=True).columns
 
 
+def test_null_and_repeated_ids_leave_one_row_of_each_component(spark):
+    r = random.Random(9)
+    texts = [invented(r, 300) for _ in range(8)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (4, texts[2])]
+    rows += [(5, texts[3]), (5, texts[4]), (3, texts[4]), (6, texts[5]), (6, texts[6]), (6, texts[6]), (7, texts[7])]
+    fps = [brute_fingerprint(t) for _, t in rows]
+    assert len(set(brute_roots(fps).values())) == 8
+    want = [(None, texts[0]), (None, texts[1]), (4, texts[2]), (5, texts[3]), (3, texts[4]), (6, texts[5]), (6, texts[6]), (7, texts[7])]
+    for k in range(3):
+        d = docs(spark, r.sample(rows, len(rows)), extra=True).repartition(k + 1)
+        kept = S.drop_near_duplicates(d)
+        assert kept.columns == d.columns
+        assert sorted((str(x.doc_id), x.text) for x in kept.collect()) == sorted((str(i), t) for i, t in want)
+
+
 def test_only_null_ids_and_empty(spark):
     assert S.drop_near_duplicates(docs(spark, [(None, "a b c"), (None, "a b c")])).count() == 1
     assert S.near_duplicates(docs(spark, [])).count() == 0
