@@ -7,7 +7,8 @@ bytes of each pair are tallied, pairs with fewer than 5 are dropped, the rest ar
 
 A list of more than `bucket` fingerprints is never paired up: it is indexed again on the 8 half-bytes of the 4 bytes that
 its members needn't share, and if need be on the 8 pairs of bits below. A list at the third level has 56 bits in common,
-so at most 256 distinct fingerprints: the bound is proven, no candidate is dropped, and a list only ever emits a spanning
+so at most 256 distinct fingerprints (several blocks lead to one list, so what enters a level is made distinct): the bound is
+proven, no candidate is dropped, and a list only ever emits a spanning
 forest of its links, never all pairs. Documents with one fingerprint are one node from the start.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows give a row each. A null doc_id is ranked
@@ -34,6 +35,7 @@ from .textops import utf8
 BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 RADIUS = 3
 BUCKET = 256
+LEVELS = 3
 
 
 def _signed(x: int) -> int:
@@ -128,19 +130,17 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
     """nodes: distinct long column fp. Edges (a, b) whose components are those of all links within the radius."""
     masks = F.array(*[F.lit(_signed(m)) for m in sub_masks(0)])
     postings = nodes.select(F.explode(masks).alias("mask"), "fp").select("mask", F.expr("mask & fp").alias("key"), "fp")
-    edges, last = None, None
-    for _ in range(3):
+    edges = None
+    for _ in range(LEVELS):
         spread = postings.repartition("mask", "key").sortWithinPartitions("mask", "key")
         found = table(spread.mapInArrow(_lists, _OUT), "links")
         level = found.where("mask = 0").select("a", "b")
         edges = level if edges is None else edges.unionByName(level)
-        if last is not None and found.where("mask <> 0").isEmpty():
-            break
-        last = found
-        postings = found.where("mask <> 0").select("mask", F.col("a").alias("key"), F.col("b").alias("fp"))
-        if postings.isEmpty():
-            break
-    return edges
+        long = found.where("mask <> 0").select("mask", F.col("a").alias("key"), F.col("b").alias("fp"))
+        if long.isEmpty():
+            return edges
+        postings = long.distinct()
+    raise RuntimeError(f"a list of level {LEVELS} holds more than {BUCKET} fingerprints")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -70,6 +70,19 @@ def test_links_give_all_components(spark, kind):
     assert groups(found) == groups(brute_roots(fps))
 
 
+def test_lists_that_several_blocks_lead_to_hold_each_fingerprint_once(spark):
+    paths = [m for one in S.sub_masks(0) for two in S.sub_masks(one) for m in S.sub_masks(two) if not m & 7]
+    fps = {0, 7}
+    for m in set(paths):  # all that is no link of 0 or 7 within the bits that the list leaves open
+        bits = [k for k in range(64) if not m >> k & 1]
+        inside = (sum(1 << b for k, b in enumerate(bits) if n >> k & 1) for n in range(256))
+        fps |= {f for f in inside if f.bit_count() > 3 and (f ^ 7).bit_count() > 3}
+    assert len(fps) == 1622 and len(paths) > len(set(paths))
+    nodes = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    found = {x: x for x in fps} | {row.node % (1 << 64): row.root % (1 << 64) for row in components(S.fingerprint_links(nodes)).collect()}
+    assert groups(found) == groups(brute_roots(fps))
+
+
 def test_documents_match_brute_force(spark):
     r = random.Random(3)
     rows = edge_rows()
