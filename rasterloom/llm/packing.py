@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import load, ready, table
-from .textops import LOWER, NOSPACE, blocks, run_sums, span_hashes, utf8, word_spans
+from .textops import LOWER, NOSPACE, blocks, numbered, run_sums, same_spans, utf8, word_spans
 
 SIZE = 4096
 CLOSE = 1
@@ -37,7 +37,7 @@ KNOWN = 1 << 20
 
 
 class Words:
-    """Token ids of words, each distinct word encoded once. For tokenizers that ignore case, drop white space, never merge across it, cut between letters and other marks and mark the ends of words."""
+    """Token ids of words, each distinct word encoded once; a hash counts as a word only where the bytes agree. For tokenizers that ignore case, drop white space, never merge across it, cut between letters and other marks and mark the ends of words."""
 
     #: One run of small letters in composed form, so one piece for the tokenizer's cutting and the same after its normalizing.
     PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
@@ -57,8 +57,9 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.place, self.seed = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.text, self.at = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # the words themselves, by place
 
     def _new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
@@ -87,15 +88,21 @@ class Words:
             buf = data.tobytes()
         s, e, first = word_spans(data, off, NOSPACE)
         s, e, first = _without_stops(data, s, e, first)
-        kinds, one, inv = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
-        if len(self.keys) + len(kinds) > KNOWN:
-            self.clear()
+        kinds, one, inv, seed = numbered(data, s, e)
+        a, z = s[one], e[one]
+        if len(self.keys) + len(kinds) > KNOWN or seed != self.seed or not self._agrees(kinds, data, a, z):
+            self.clear()  # a hash that stands for another word here starts anew, with this block's words alone
+            self.seed = seed
         new = np.flatnonzero(~self._has(kinds))
         if len(new):
-            ids, n = self._new([buf[a:z] for a, z in zip(s[one[new]].tolist(), e[one[new]].tolist(), strict=True)])
+            a, z = a[new], z[new]
+            ids, n = self._new([buf[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)])
             place = np.arange(len(n)) + len(self.start) - 1
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
             self.ids = np.concatenate([self.ids, ids])
+            size = z - a
+            self.text = np.concatenate([self.text, data[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())]])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
             at = np.searchsorted(self.keys, kinds[new])
             self.keys, self.place = np.insert(self.keys, at, kinds[new]), np.insert(self.place, at, place)
         w = self.place[np.searchsorted(self.keys, kinds)][inv] if len(kinds) else np.zeros(0, np.int64)
@@ -108,6 +115,15 @@ class Words:
         out[body] = self.ids[np.repeat(self.start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         return out, begin
 
+    def _agrees(self, kinds: np.ndarray, data: np.ndarray, a: np.ndarray, z: np.ndarray) -> bool:
+        """Whether each known hash of kinds stands for the bytes data[a:z) too."""
+        on = np.flatnonzero(self._has(kinds))
+        if not len(on):
+            return True
+        p = self.place[np.searchsorted(self.keys, kinds[on])]
+        n = z[on] - a[on]
+        return bool(np.array_equal(self.at[p + 1] - self.at[p], n) and same_spans(data, a[on], self.text, self.at[p], n).all())
+
     def _has(self, kinds: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(kinds), dtype=bool)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that one block holds.
 BLOCK = 1 << 21
@@ -28,27 +29,9 @@ NOSPACE = np.ones(256, dtype=bool)
 NOSPACE[32] = False
 NOSPACE[9:14] = False
 
-_R = np.random.default_rng(20240229)
-_T = _R.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = 0x9E3779B97F4A7C15 | 1
-_PI = pow(_P, -1, 1 << 64)
-_MASK = (1 << 64) - 1
-_POW: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POW.get("p")
-    if have is None or len(have) < n + 1:
-        size = max(n + 1, min(BLOCK, 1 << 16) + 1)
-        p = np.full(size, _P, dtype=np.uint64)
-        q = np.full(size, _PI, dtype=np.uint64)
-        p[0] = q[0] = 1
-        np.multiply.accumulate(p, out=p)
-        np.multiply.accumulate(q, out=q)
-        if size > 4 * BLOCK:
-            return p, q
-        _POW["p"], _POW["q"] = p, q
-    return _POW["p"], _POW["q"]
+#: Spans of more bytes are hashed whole by XXH64, shorter ones eight bytes at a time in numpy.
+LANES = 128
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -91,17 +74,52 @@ def word_spans(data: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np.
     return s, np.flatnonzero(end) + 1, np.searchsorted(s, off)
 
 
-def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[s:e): equal bytes have equal hashes wherever they stand."""
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers; beyond the end zeros."""
+    b = np.zeros(len(data) + 8, dtype=np.uint8)
+    b[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", b, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[s:e): equal bytes have equal hashes wherever they stand. Each step is a bijection of the state, so spans of one length up to 8 never share one; no rule of bytes makes others collide."""
     if not len(s):
         return np.zeros(0, np.uint64)
-    p, q = _powers(len(data))
-    c = np.empty(len(data) + 1, dtype=np.uint64)
-    c[0] = 0
-    np.multiply(_T[data], p[: len(data)], out=c[1:])
-    np.cumsum(c, out=c)
-    h = (c[e] - c[s]) * q[s]
-    return mix(h + (e - s).astype(np.uint64))
+    lanes, n = _lanes(data), e - s
+    h = mix(n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(mix_int(seed)))
+    h = mix(h ^ lanes[s] & _KEEP[np.minimum(n, 8)])
+    on, at = np.flatnonzero((n > 8) & (n <= LANES)), 8
+    while len(on):
+        h[on] = mix(h[on] * np.uint64(0xD6E8FEB86659FD93) ^ lanes[s[on] + at] & _KEEP[np.minimum(n[on] - at, 8)])
+        at += 8
+        on = on[n[on] > at]
+    for k in np.flatnonzero(n > LANES).tolist():
+        h[k] = xxhash.xxh64_intdigest(data[s[k] : e[k]].tobytes(), seed)
+    return h
+
+
+def same_spans(a: np.ndarray, sa: np.ndarray, b: np.ndarray, sb: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a[sa:sa + n) and b[sb:sb + n) hold the same bytes, pair by pair."""
+    la, lb = _lanes(a), _lanes(b)
+    out = (la[sa] ^ lb[sb]) & _KEEP[np.minimum(n, 8)] == 0
+    on, at = np.flatnonzero(out & (n > 8) & (n <= LANES)), 8
+    while len(on):
+        out[on] = (la[sa[on] + at] ^ lb[sb[on] + at]) & _KEEP[np.minimum(n[on] - at, 8)] == 0
+        at += 8
+        on = on[out[on] & (n[on] > at)]
+    for k in np.flatnonzero(out & (n > LANES)).tolist():
+        out[k] = np.array_equal(a[sa[k] : sa[k] + n[k]], b[sb[k] : sb[k] + n[k]])
+    return out
+
+
+def numbered(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(hashes, sorted; one span of each; number of each span's hash; seed): distinct spans by hashes under a seed that keeps all of them apart, which is made sure of byte by byte."""
+    for seed in range(64):
+        kinds, one, inv = np.unique(span_hashes(data, s, e, seed), return_index=True, return_inverse=True)
+        rep = one[inv]
+        if np.array_equal(e[rep] - s[rep], e - s) and same_spans(data, s, data, s[rep], e - s).all():
+            return kinds, one, inv, seed
+    raise RuntimeError("no seed tells the words apart")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,6 +128,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def mix_int(x: int) -> int:
+    return int(mix(np.array([x], dtype=np.uint64))[0])
+
+
 def token_hash(text: bytes) -> int:
     """The hash of one word, as span_hashes() gives it."""
     a = np.frombuffer(text, dtype=np.uint8)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rasterloom.llm.packing import Words, pack, plan, sequences
+from rasterloom.llm.packing import Words, op3_best_fit_packing, pack, plan, sequences
 
 from .common import docs, edge_rows, invented
 
@@ -95,3 +95,30 @@ def test_empty_table(spark):
     assert pack(docs(spark, [])).count() == 0
     one = pack(docs(spark, [(1, None)])).collect()
     assert [(r.piece, r.length, r.sequence_id, r.offset) for r in one] == [(0, 1, 0, 0)]
+
+
+@pytest.mark.parametrize("n", [8, 64, 1024])
+def test_words_are_told_apart_by_their_bytes(n):
+    """Words of two letters that sums of powers modulo 2^64 can't tell apart."""
+    texts = ["".join("ab"[bin(k).count("1") + flip & 1] for k in range(n)) for flip in (0, 1)]
+    words = Words(public_tokenizers.path("word_bpe_49k.json"))
+    for order in ((0, 1), (1, 0)):
+        data = [texts[k].encode() for k in order]
+        ids, begin = words.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, n, n]))
+        assert [ids[begin[i] : begin[i + 1]].tolist() for i in (0, 1)] == [ids_of(texts[k]) for k in order]
+
+
+def test_a_hash_that_stands_for_another_word_is_noticed():
+    words = Words(public_tokenizers.path("word_bpe_49k.json"))
+    data = np.frombuffer(b"alpha beta", np.uint8)
+    words.encode(data, np.array([0, 10]))
+    words.text[:5] = np.frombuffer(b"gamma", np.uint8)  # as if another word had had the hash before
+    words.text[-5:] = np.frombuffer(b"delta", np.uint8)
+    ids, _ = words.encode(data, np.array([0, 10]))
+    assert ids.tolist() == ids_of("alpha beta")
+
+
+def test_query_columns(spark, tmp_path):
+    docs(spark, edge_rows()).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_best_fit_packing(spark, str(tmp_path))
+    assert got.dtypes == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
