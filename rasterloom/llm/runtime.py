@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -20,10 +21,12 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir where it is set, else one of our own (tests)."""
+    """The folder that the cluster shares: spark.checkpoint.dir where it is set; one of our own only where driver and executors are one process (tests)."""
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not top:
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         sc.setCheckpointDir(top)
     return top
@@ -48,5 +51,15 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int, share: float = 1e-4, least: int = 1000) -> DataFrame:
+    """left and right joined on key, of which right holds a row or few a value. sizes (key, n): rows of left by key. Keys of at least `share` of all total rows (so 1 / share of them at most, a proven bound) stay where they are: their rows of right are broadcast, and only the others are shuffled."""
+    heavy = table(sizes.where(F.col("n") >= F.lit(max(least, share * total))).select(key), "heavy")
+    if heavy.isEmpty():
+        return left.join(right, key)
+    few = F.broadcast(heavy)
+    near = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key)
+    return near.unionByName(left.join(few, key, "left_anti").join(right, key))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,7 +28,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .fingerprints import simhash
-from .runtime import load, ready, table
+from .runtime import load, ready, split_join, table
 from .textops import utf8
 
 #: Blocks of S(3,4,8): the 4-sets of 0..7 whose members' XOR is 0.
@@ -157,14 +157,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, fp, component, root): root is the least fingerprint reachable over links."""
+    """(id_col, fp, component, root): root is the least fingerprint reachable over links. Documents of a popular fingerprint aren't shuffled: what it belongs to is sent to them."""
     fps = table(fingerprints(docs, id_col, text_col), "fps")
-    nodes = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
+    nodes = table(fps.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(fingerprint_links(nodes.select("fp")))
-    least = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    own = nodes.select("fp", "rep")
+    least = own.join(roots, own.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     linked = least.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
     of = least.join(linked, "root", "left").select("fp", F.coalesce("least", "rep").alias("component"), "root")
-    return fps.join(of, "fp").select(id_col, "fp", "component", "root")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return split_join(fps, of, "fp", nodes.select("fp", "n"), total).select(id_col, "fp", "component", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,24 +186,34 @@ def _marked(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_row_fp", LongType())]))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, one of least id (null after all others) and then of least fingerprint; all columns stay. Ids may be null or repeat, in one component or several."""
+#: Ids (or pairs of id and fingerprint) that go to the executors as they are; more are met by a shuffle of docs.
+SENT = 1 << 19
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent: int = SENT) -> DataFrame:
+    """docs with one row of each component, one of least id (null after all others) and then of least fingerprint; all columns stay. Ids may be null or repeat, in one component or several. Up to `sent` rows to drop are broadcast, so that no text moves; only if there are more are docs shuffled, by id."""
     found = table(_rooted(docs, id_col, text_col), "components")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("fp").alias("fp"))).alias("x")
-    pick = table(found.groupBy("root").agg(first).select(F.col("x.id").alias("_pick"), F.col("x.fp").alias("_pick_fp")), "picks")
-    many = table(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_many")).count().where("count > 1").select("_many"), "many")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("fp").alias("fp"))
+    groups = table(found.groupBy("root").agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("n")).select("root", F.col("x.id").alias("_pick"), F.col("x.fp").alias("_pick_fp"), "n"), "groups")
+    many = table(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_many")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_many"), "many")
     repeated = not many.isEmpty()
-    single = pick.where("_pick IS NOT NULL")
+    # an id of one row goes if its group has another pick
+    more = groups.where("n > 1")
+    total = more.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    gone = split_join(found.select("root", id_col), more.select("root", "_pick"), "root", more.select("root", "n"), total)
+    gone = gone.where(F.col(id_col).isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_pick"))).select(F.col(id_col).alias("_gone"))
     if repeated:
-        single = single.join(many, single["_pick"] == many["_many"], "left_anti")
-    out = docs.join(single, docs[id_col] == single["_pick"], "left_semi")
+        gone = gone.join(many, gone["_gone"] == many["_many"], "left_anti").unionByName(many.select(F.col("_many").alias("_gone")))
+    gone = table(gone, "gone")
+    few = (lambda d: F.broadcast(d)) if gone.count() <= sent else lambda d: d
+    out = docs.where(docs[id_col].isNotNull()).join(few(gone), docs[id_col] == gone["_gone"], "left_anti")
     # an id that doesn't tell rows apart: the fingerprint goes with it, which no two components share
-    rest = [docs.where(docs[id_col].isNull())] if not pick.where("_pick IS NULL").isEmpty() else []
+    rest = [docs.where(docs[id_col].isNull())] if not groups.where("_pick IS NULL").isEmpty() else []
     if repeated:
         rest.append(docs.join(many, docs[id_col] == many["_many"], "left_semi"))
     for part in rest:
         part = _marked(part, text_col)
-        part = part.join(pick, part[id_col].eqNullSafe(pick["_pick"]) & (part["_row_fp"] == pick["_pick_fp"]), "left_semi")
+        part = part.join(groups, part[id_col].eqNullSafe(groups["_pick"]) & (part["_row_fp"] == groups["_pick_fp"]), "left_semi")
         out = out.unionByName(part.dropDuplicates([id_col, "_row_fp"]).drop("_row_fp"))
     return out
 

@@ -112,7 +112,7 @@ def test_null_and_repeated_ids_leave_one_row_of_each_component(spark):
     want = [(None, texts[0]), (None, texts[1]), (4, texts[2]), (5, texts[3]), (3, texts[4]), (6, texts[5]), (6, texts[6]), (7, texts[7])]
     for k in range(3):
         d = docs(spark, r.sample(rows, len(rows)), extra=True).repartition(k + 1)
-        kept = S.drop_near_duplicates(d)
+        kept = S.drop_near_duplicates(d, sent=(0, 2, 1 << 19)[k])
         assert kept.columns == d.columns
         assert sorted((str(x.doc_id), x.text) for x in kept.collect()) == sorted((str(i), t) for i, t in want)
 
@@ -128,3 +128,29 @@ def test_chain_of_links(spark):
     got = {r.node: r.root for r in components(e).collect()}
     assert got == {k: 0 for k in range(201)} | {500: 500, 501: 500}
     assert components(e.where("false")).count() == 0
+
+
+def test_hubs_and_popular_fingerprints_are_split(spark, monkeypatch):
+    from rasterloom.llm import components as C
+    from rasterloom.llm import runtime, simhash
+
+    split = lambda *a: runtime.split_join(*a, share=0.01, least=3)
+    monkeypatch.setattr(C, "MANY", 1)
+    monkeypatch.setattr(C, "split_join", split)
+    monkeypatch.setattr(simhash, "split_join", split)
+    star = [(k, 0) for k in range(1, 60)] + [(100, 101), (101, 102), (60, 59)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100, 102: 100}
+    r = random.Random(2)
+    same = invented(r, 50)
+    rows = [(k, same) for k in range(40)] + [(50 + k, invented(r, 60)) for k in range(5)]
+    near = S.near_duplicates(docs(spark, rows))
+    assert {x.doc_id: x.component for x in near.collect()} == {k: 0 if k < 40 else k for k, _ in rows}
+    assert sorted(x.doc_id for x in S.drop_near_duplicates(docs(spark, rows)).collect()) == [0, *range(50, 55)]
+
+
+def test_query_columns(spark, tmp_path):
+    docs(spark, edge_rows()).write.parquet(f"{tmp_path}/documents.parquet")
+    got = S.op9_simhash_near_dup(spark, str(tmp_path))
+    assert got.dtypes == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
+    assert all(len(x.fingerprint) == 16 for x in got.collect()) and got.count() == len(edge_rows())
