@@ -2,11 +2,16 @@
 
 Six ratios of each text are compared with fences of its own language and source instead of fixed cutoffs: mean word
 length, symbols per word, repeated lines per line, words in repeated 3-word windows per word, ASCII capitals per character
-and exclamation marks per word. Mergeable quantile sketches (KLL) hold the quartiles of each (lang, source); a group of fewer than `least` documents with words takes the fences of its
-language, a language of fewer those of the corpus, from the merged sketches. A fence stands max(`reach` x interquartile
-range, margin) beyond the quartile; the margins keep groups without spread from rejecting what hardly differs.
-
-The sketches are aggregated map-side before the shuffle, so a source with a third of all rows is no hot key. Texts are read
+and exclamation marks per word. Mergeable quantile sketches (KLL) hold the deciles of each (lang, source); a group of fewer than `least` documents with words takes the fences of its
+language, a language of fewer those of the corpus, from the merged sketches. A fence stands `reach` times the group's own spread (from its
+median to its ninth decile; below, to its first) beyond that decile. So the same text passes where its kind is usual and
+goes where it isn't. A spread counts as `UNIT` at least, the share that a few marks make in the shortest text that
+the base rule lets pass: a group that knows no symbols at all mustn't reject a text for one of them. That decides for
+symbols, repeated lines and exclamation marks, which most groups lack; word length, repetition and capitals go by the spread.
+
+The sketches are aggregated map-side before the shuffle, so a source with a third of all rows is no hot key. A sketch keeps all
+values of a group up to SKETCH_K of them and is then exact; beyond that the rank of a decile is off by about 0.13 % of the
+group at most (k = 4096, 99 % of cases), which moves a fence by `reach` times that step. Small groups have small sketches. Texts are read
 once; what is joined is a row of numbers a document. Null texts have no words and fail the base rule; null languages and
 sources are groups like others. Repeated rows count and come out each. Clashing extra columns aren't read.
 """
@@ -20,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .runtime import load, ready, table
 
-#: Ratio: margin of its fence. Only mean word length has a lower fence.
-MARGINS = {"word_length": 3.0, "symbol_ratio": 0.15, "dup_line_ratio": 0.3, "repeat_ratio": 0.3, "upper_ratio": 0.2, "shout_ratio": 0.2}
-REACH = 3.0
+#: Ratio: least spread that counts. Only mean word length has a lower fence.
+UNIT = {"word_length": 0.03, "symbol_ratio": 0.015, "dup_line_ratio": 0.075, "repeat_ratio": 0.006, "upper_ratio": 0.002, "shout_ratio": 0.015}
+REACH = 4.0
+#: Deciles that the fences are made of.
+LOW, MIDDLE, HIGH = 0.1, 0.5, 0.9
 LEAST = 50
 SKETCH_K = 4096
 
@@ -78,27 +85,27 @@ def ratios(m: DataFrame) -> DataFrame:
 
 def fences(r: DataFrame, least: int = LEAST, reach: float = REACH, k: int = SKETCH_K) -> DataFrame:
     """(lang, source, low_word_length, high_<ratio>...), one row for each group of r."""
-    own = r.groupBy("lang", "source").agg(F.count("word_length").alias("n"), *[F.kll_sketch_agg_double(x, k).alias(x) for x in MARGINS])
+    own = r.groupBy("lang", "source").agg(F.count("word_length").alias("n"), *[F.kll_sketch_agg_double(x, k).alias(x) for x in UNIT])
     own = table(own, "sketches")
-    merge = lambda d, *by: d.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(x, k).alias(x) for x in MARGINS])
+    merge = lambda d, *by: d.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(x, k).alias(x) for x in UNIT])
     lang = merge(own, "lang")
     corpus = merge(own)
     up = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in d.columns])
     g = own.join(up(lang, "l_"), F.col("lang").eqNullSafe(F.col("l_lang"))).crossJoin(F.broadcast(up(corpus, "c_")))  # one row
     pick = lambda x: F.when(F.col("n") >= least, F.col(x)).when(F.col("l_n") >= least, F.col(f"l_{x}")).when(F.col("c_n") > 0, F.col(f"c_{x}"))
-    g = g.select("lang", "source", *[F.kll_sketch_get_quantile_double(pick(x), F.array(F.lit(0.25), F.lit(0.75))).alias(x) for x in MARGINS])
-    reaches = {x: F.greatest(F.lit(reach) * (F.col(x)[1] - F.col(x)[0]), F.lit(m)) for x, m in MARGINS.items()}
-    return g.select("lang", "source", (F.col("word_length")[0] - reaches["word_length"]).alias("low_word_length"), *[(F.col(x)[1] + reaches[x]).alias(f"high_{x}") for x in MARGINS])
+    g = g.select("lang", "source", *[F.kll_sketch_get_quantile_double(pick(x), F.array(F.lit(LOW), F.lit(MIDDLE), F.lit(HIGH))).alias(x) for x in UNIT])
+    beyond = lambda x, k: F.lit(reach) * F.greatest(F.abs(F.col(x)[k] - F.col(x)[1]), F.lit(UNIT[x]))
+    return g.select("lang", "source", (F.col("word_length")[0] - beyond("word_length", 0)).alias("low_word_length"), *[(F.col(x)[2] + beyond(x, 2)).alias(f"high_{x}") for x in UNIT])
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """measures() and ratios() of each document, base_failed, its fences and kept."""
     ready(docs.sparkSession)
     r = ratios(table(measures(docs, id_col, text_col), "measures"))
-    f = table(fences(r, **how), "fences").select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), "low_word_length", *[f"high_{x}" for x in MARGINS])
+    f = table(fences(r, **how), "fences").select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), "low_word_length", *[f"high_{x}" for x in UNIT])
     d = r.join(f, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left").drop("f_lang", "f_source")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    beyond = reduce(lambda a, b: a | b, [F.col(x) > F.col(f"high_{x}") for x in MARGINS], F.col("word_length") < F.col("low_word_length"))
+    beyond = reduce(lambda a, b: a | b, [F.col(x) > F.col(f"high_{x}") for x in UNIT], F.col("word_length") < F.col("low_word_length"))
     return d.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(beyond, F.lit(False)))
 
 
@@ -107,16 +114,20 @@ def op7_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _quartile_sql(by: str) -> str:
-    return ", ".join(f"quantile_disc({x}, {q}) AS {p}_{x}" for x in MARGINS for q, p in ((0.25, "q1"), (0.75, "q3"))) + f", count(word_length) AS n FROM r {by}"
+def _decile_sql(by: str) -> str:
+    return ", ".join(f"quantile_disc({x}, {q}) AS {p}_{x}" for x in UNIT for q, p in ((LOW, "q1"), (MIDDLE, "q5"), (HIGH, "q9"))) + f", count(word_length) AS n FROM r {by}"
 
 
 def _fence_sql(x: str) -> str:
-    pick = lambda q: f"CASE WHEN o.n >= {LEAST} THEN o.{q}_{x} WHEN l.n >= {LEAST} THEN l.{q}_{x} ELSE c.{q}_{x} END"
-    return f"{pick('q1')} AS q1_{x}, {pick('q3')} AS q3_{x}"
+    pick = lambda q: f"CASE WHEN o.n >= {LEAST} THEN o.{q}_{x} WHEN l.n >= {LEAST} THEN l.{q}_{x} ELSE c.{q}_{x} END AS {q}_{x}"
+    return ", ".join(map(pick, ("q1", "q5", "q9")))
+
+
+def _reach_sql(x: str, q: str) -> str:
+    return f"{REACH} * greatest(abs({q}_{x} - q5_{x}), {UNIT[x]})"
 
 
-#: Exact quartiles; the sketches are exact too up to SKETCH_K documents a group.
+#: Exact deciles; the sketches are exact too up to SKETCH_K documents a group.
 ORACLE_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -132,14 +143,14 @@ r AS (
   SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words END AS word_length, CASE WHEN n_words > 0 THEN n_symbols / n_words END AS symbol_ratio,
     CASE WHEN n_words > 0 THEN n_dup_lines / n_lines END AS dup_line_ratio, CASE WHEN n_words > 0 THEN n_repeat_words / n_words END AS repeat_ratio,
     CASE WHEN n_words > 0 THEN n_upper / word_chars END AS upper_ratio, CASE WHEN n_words > 0 THEN n_shouts / n_words END AS shout_ratio FROM m),
-o AS (SELECT lang, source, {_quartile_sql("GROUP BY lang, source")}),
-l AS (SELECT lang, {_quartile_sql("GROUP BY lang")}),
-c AS (SELECT {_quartile_sql("")}),
-q AS (SELECT o.lang, o.source, {", ".join(map(_fence_sql, MARGINS))} FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang CROSS JOIN c),
+o AS (SELECT lang, source, {_decile_sql("GROUP BY lang, source")}),
+l AS (SELECT lang, {_decile_sql("GROUP BY lang")}),
+c AS (SELECT {_decile_sql("")}),
+q AS (SELECT o.lang, o.source, {", ".join(map(_fence_sql, UNIT))} FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang CROSS JOIN c),
 j AS (
   SELECT r.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-    coalesce(word_length < q1_word_length - greatest({REACH} * (q3_word_length - q1_word_length), {MARGINS["word_length"]})
-      OR {" OR ".join(f"{x} > q3_{x} + greatest({REACH} * (q3_{x} - q1_{x}), {m})" for x, m in MARGINS.items())}, false) AS beyond
+    coalesce(word_length < q1_word_length - {_reach_sql("word_length", "q1")}
+      OR {" OR ".join(f"{x} > q9_{x} + {_reach_sql(x, 'q9')}" for x in UNIT)}, false) AS beyond
   FROM r JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT beyond AS kept FROM j
 """

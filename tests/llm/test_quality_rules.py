@@ -3,6 +3,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.llm import quality_rules as Q
 
@@ -67,6 +68,34 @@ def test_thresholds_follow_their_group(spark):
     assert not got[5000] and got[5001] and sum(got[k] for k in range(120)) == 120
 
 
+def test_spreads_decide_and_groups_judge_for_themselves(spark):
+    """Where a ratio varies at all, a group's own spread sets its fence in most groups, and one fence for the whole corpus would judge otherwise."""
+    r = random.Random(4)
+    rows = []
+    for g in range(20):
+        size = r.choice((30, 400, 3000))
+        for k in range(60):
+            t = invented(r, r.choice((60, 120, 300)), size).split()
+            for _ in range(r.randrange(1 + g % 5)):  # phrases again
+                at = r.randrange(len(t) - 5)
+                t += t[at : at + 4]
+            t = [x.capitalize() if r.random() < 0.02 * (1 + g % 5) else x + "x" * (g % 4) for x in t]
+            rows.append((g * 100 + k, " ".join(t), "en", f"s{g}", 1))
+        # of the kind of another group
+        t = " ".join(x + "x" * ((g + 2) % 4) for x in invented(r, 300).split())
+        rows.append((g * 100 + 90, t, "en", f"s{g}", 1))
+    d = spark.createDataFrame(rows, docs(spark, []).schema)
+    own = Q.ratios(Q.measures(d))
+    q = own.groupBy("source").agg(*[F.percentile_approx(x, [0.5, 0.9]).alias(x) for x in Q.UNIT]).collect()
+    for x in ("word_length", "repeat_ratio", "upper_ratio"):
+        assert sum(g[x][1] - g[x][0] > Q.UNIT[x] for g in q) > len(q) / 2, x
+    mine = {x.doc_id: x.kept for x in Q.judged(d).collect()}
+    one = {x.doc_id: x.kept for x in Q.judged(d.withColumn("source", F.lit("all"))).collect()}
+    assert sum(mine[k] != one[k] for k in mine) >= 10
+    fences = {tuple(round(v, 6) for v in f[2:]) for f in Q.fences(own).collect()}
+    assert len(fences) == 20
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(None, "a"), (None, None)]])
 def test_small_tables(spark, rows):
     got = Q.judged(docs(spark, rows)).collect()
