@@ -1,24 +1,33 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block, with the text that isn't part of it (scripts, styles, menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments) counted as empty lines, so that a run of article lines starts with a surge
-of the length distribution and ends with a dive to nothing. Over all lines goes a sliding window that sums lengths; a
-surge point is where the sum passes the page's threshold, a dive point where the lines have fallen to nothing, and the lines
-between stay. An element counts as furniture if all words of one of its class names or its id say so, unless it marks an
-article itself; a marked article inside furniture (but for reader comments and the like of nav and aside) is the text where
-it is longer than what the page gives without it. Where the page marks its article (article, main, articleBody, or a block so named), lines outside it count as
-empty and the threshold is zero, so short first and last paragraphs stay; only a page that marks none needs a threshold,
-and there lines that are mostly links count as empty too.
+Markup is stripped to lines, one for each block, and each line has a weight, its length under what the structure says of it.
+Empty lines stand where the page changes parts: `window` of them at the edge of an element that names furniture or
+marks an article, one less at the edge of any container of blocks (but not after a heading). Over all lines goes a sliding
+window that sums weights. A surge point is a line whose window passes the threshold, a dive point where the window has fallen
+to nothing, and the lines between stay. A block set apart and short never starts a surge, whatever its name; what follows
+the article's last line ends with its dive.
+
+Structure enters by weights alone. Lines in nav, footer, aside, forms, dialogs, hidden elements, readers' comments, and
+headers outside an article weigh nothing. Those in elements all of whose words in one class name or id are of furniture weigh a
+tenth, so such a block stays if its density says so (the text of paragraphs about social or related things inside an article isn't furniture at all). Lines
+of a marked article (article, main, articleBody, or a block so named) weigh a threshold more, so its short paragraphs
+surge by themselves, and the others a tenth; but only if the marked text is at least a tenth of the page's, else the mark is
+ignored. Without a mark, lines that are mostly links weigh nothing; if then no window passes the threshold, half of the largest sum is
+the threshold. A marked article inside furniture (but for readers' comments, nav and aside) is the text where it is longer than what the
+page gives without it.
 
 Character references are decoded after stripping; white space inside a block becomes one space; blocks are joined by a line
 feed, in page order. A line break tag is white space. Null, empty and text-free pages give the empty string. The scanner is
-linear in the page, unclosed tags, quotes and comments included. Repeated rows come out each.
+linear in the page, unclosed tags, quotes, comments and deep nesting included. Repeated rows come out each.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -27,12 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .runtime import load, ready
 
 WINDOW = 3
-#: Sum of a window that is a surge where no article is marked.
+#: Sum of a window that is a surge.
 SURGE = 120
+#: Weight of a character in an element named as furniture.
+NAMED = 0.1
+#: Share of the page's text from which a mark counts.
+MARK = 0.1
 
 _BLOCK = frozenset("address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea iframe title svg math object canvas audio video select".split())
+_RAW = frozenset("script style noscript template textarea iframe title svg annotation annotation-xml object canvas audio video select".split())
 _AWAY = frozenset("nav footer aside form button dialog menu head".split())
 #: Elements that the start of a like one closes.
 _OWN_END = frozenset("p li dt dd td th tr option".split())
@@ -54,11 +67,20 @@ _ATTRIBUTE = re.compile(r"""(?i)(?:^|[\s"'/])(class|id|role|itemprop|hidden|aria
 _NAME = re.compile(r"[a-zA-Z][^\s/><]*")
 
 
+_QUOTED = re.compile(r"=\s*([\"'])")
+
+
+@lru_cache(64)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"(?i)</{name}(?=[\s/>])")
+
+
 class _Scanner:
     """Tags and texts of a page: calls start(name, attributes), end(name) and text(s)."""
 
     def __init__(self, html: str) -> None:
         self.html, self.none = html, {'"': False, "'": False}
+        self.open: set[str] = set()  # raw elements without an end from here on
 
     def _tag_end(self, at: int) -> int:
         """Place of the > that closes a tag whose attributes begin at `at`, -1 if there is none."""
@@ -66,7 +88,7 @@ class _Scanner:
         stop = html.find(">", at)
         while stop >= 0:
             # only a quote that opens a value counts
-            m = re.compile(r"=\s*([\"'])").search(html, at, stop)
+            m = _QUOTED.search(html, at, stop)
             if not m:
                 return stop
             q = m[1]
@@ -116,12 +138,14 @@ class _Scanner:
                 continue
             attributes = html[m.end() : z]
             if name in _RAW and not attributes.endswith("/"):
-                close = re.compile(rf"(?i)</{name}(?=[\s/>])").search(html, at)
+                close = None if name in self.open else _raw_end(name).search(html, at)
                 if close:
                     z = html.find(">", close.end())
                     at = n if z < 0 else z + 1
                 elif name in ("script", "style", "title"):
                     return
+                else:
+                    self.open.add(name)
                 text(" ")
                 continue
             start(name, attributes)
@@ -178,109 +202,150 @@ def _rank(name: str, attributes: str) -> int:
     return 0
 
 
-def lines(html: str) -> list[tuple[str, int, int, int]]:
-    """Blocks in page order: text, characters of it in links, rank of the container, and 1 if it is part of the page's furniture, 2 if it is of a marked article in furniture."""
-    out: list[tuple[str, int, int, int]] = []
+@dataclass(slots=True)
+class Line:
+    """A block: text, characters of it in links, weight of a character, rank of the article around it, whether that stands in furniture, and empty lines before it."""
+
+    text: str
+    linked: int
+    prior: float
+    rank: int
+    lifted: bool
+    gap: int
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element, and what held outside of it: prior, away (0 none, 1 or 2 as _away()) and the name of the element that it comes from, rank, links, lifted. first: lines before it; holds: whether it holds blocks; edge: whether it stands apart."""
+
+    name: str
+    outside: tuple[float, int, str, int, int, bool]
+    first: int
+    holds: bool
+    edge: bool
+
+
+_TAGS = re.compile(r"(?i)<(/?)(nav|footer|aside|form|button|dialog|menu|header|div|section|ul|ol|li|td|tr|table|span)(?=[\s/>])")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What the start of a block ends.
+_INLINE = frozenset("p span h1 h2 h3 h4 h5 h6".split())
+
+
+def lines(html: str, window: int = WINDOW) -> list[Line]:
+    """Blocks in page order."""
+    out: list[Line] = []
     parts: list[str] = []
-    linked = 0
-    state = {"skip": "", "depth": 0, "link": 0, "away": 0}
-    lifts: list[tuple[int, dict]] = []  # marked articles in furniture: place in held, and the state to return to
-    held: list[tuple[str, int]] = []  # open containers that mark the article, as (name, rank); others of their names count with rank 0
-    lower = None
+    stack: list[_Open] = []
+    opened: Counter[str] = Counter()
+    prior, away, root, rank, links, lifted = 1.0, 0, "", 0, 0, False
+    linked = gap = 0
+    glued = False
+    # names of which the page closes fewer than it opens
+    balance: Counter[str] | None = None
+
+    def unclosed(name: str) -> bool:
+        nonlocal balance
+        if balance is None:
+            balance = Counter()
+            for m in _TAGS.finditer(html):
+                balance[m[2].lower()] += -1 if m[1] else 1
+        return balance[name] > 0
 
     def close_block() -> None:
-        nonlocal linked
+        nonlocal linked, gap, glued
         if parts:
             s = " ".join(unescape("".join(parts)).split())
             if s:
-                out.append((s, min(linked, len(s)), max((r for _, r in held), default=0), 1 if state["skip"] else 2 * bool(lifts)))
+                out.append(Line(s, min(linked, len(s)), prior, rank, lifted, 0 if glued and gap < window else gap))
+                gap, glued = 0, bool(stack) and stack[-1].name in _HEADINGS
             parts.clear()
             linked = 0
 
+    def pop() -> None:
+        nonlocal prior, away, root, rank, links, lifted, gap
+        x = stack.pop()
+        opened[x.name] -= 1
+        if x.edge or x.holds:
+            close_block()
+            gap = max(gap, window if x.edge else window - 1)
+        prior, away, root, rank, links, lifted = x.outside
+
     def start(name: str, attributes: str) -> None:
-        nonlocal lower
+        nonlocal prior, away, root, rank, links, lifted, gap
         if name in _BLOCK:
             close_block()
+            while stack and stack[-1].name in _INLINE:
+                pop()
+            if stack and stack[-1].name == name and name in _OWN_END:
+                pop()
+            if name == "body":
+                while opened["head"]:
+                    pop()
+            if stack and not stack[-1].holds:
+                stack[-1].holds = True
+                k = stack[-1].first
+                if k < len(out):
+                    out[k].gap = max(out[k].gap, window - 1)
+                else:
+                    gap = max(gap, window - 1)
         elif name == "br":
             parts.append(" ")
         if name in _VOID or attributes.endswith("/") and name not in _BLOCK:
             return
-        if state["skip"]:
-            if name == "body" and state["skip"] == "head":
-                state["skip"] = ""
-            elif name == state["skip"]:
-                if name in _OWN_END:
-                    state["skip"] = ""
-                else:
-                    state["depth"] += 1
-                    return
-            elif name in ("article", "main") and not any(r for _, r in held):
-                lower = lower if lower is not None else scanner.html.lower()
-                if f"</{state['skip']}" not in lower:  # never closed
-                    state["skip"] = ""
-            elif name in _BLOCK and state["skip"] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "span"):
-                state["skip"] = ""
-            if state["skip"]:
-                if state["away"] == 2 or _rank(name, attributes) < 2 or _away(name, attributes, False):
-                    return
-                close_block()
-                lifts.append((len(held), {k: state[k] for k in ("skip", "depth", "away")}))
-                state["skip"] = ""
-        if name == "a":
-            state["link"] += 1
-        if away := _away(name, attributes, any(r for _, r in held)):
-            close_block()
-            state["skip"], state["depth"], state["away"] = name, 1, away
+        if away and name in ("article", "main"):  # furniture that is never closed ends here
+            while away and unclosed(root):
+                while away:
+                    pop()
+        found, own = _away(name, attributes, rank > 0), _rank(name, attributes)
+        if not (name in _BLOCK or name == "a" or found or opened[name]):
             return
-        rank = _rank(name, attributes)
-        if rank or any(n == name for n, _ in held):
-            held.append((name, rank))
+        state = prior, away, root, rank, links, lifted
+        edge = bool(found or own)
+        if edge:
+            close_block()
+            gap = max(gap, window)
+        stack.append(_Open(name, state, len(out), False, edge))
+        opened[name] += 1
+        links += name == "a"
+        if found:
+            prior = min(prior, NAMED if found == 1 and name != "form" and not _by_role(attributes) else 0.0)
+            away, root = max(away, found), root if away else name
+        elif away == 1 and own >= 2:
+            prior, away, root, rank, lifted = 1.0, 0, "", own, True
+        else:
+            rank = max(rank, own)
 
     def end(name: str) -> None:
         if name in _BLOCK:
             close_block()
-        if state["skip"]:
-            if name == state["skip"]:
-                close_block()
-                state["depth"] -= 1
-                if state["depth"] <= 0:
-                    state["skip"] = ""
-                return
-            if state["skip"] in ("p", "li", "span") and name in ("article", "main", "body", "section"):
-                state["skip"] = ""
-            elif name in ("article", "main") and any(n == name for n, _ in held) and not any(n == name for n, _ in held[:-1]):
-                state["skip"] = ""  # what the article holds ends with it
-            else:
-                return
-        if name == "a":
-            state["link"] = max(0, state["link"] - 1)
-        for k in range(len(held) - 1, -1, -1):
-            if held[k][0] == name:
-                close_block()
-                del held[k:]
-                while lifts and lifts[-1][0] >= len(held):
-                    state.update(lifts.pop()[1])
-                break
+        if opened[name]:
+            while True:
+                last = stack[-1].name
+                pop()
+                if last == name:
+                    break
+        elif name == "br":
+            parts.append(" ")
 
     def text(s: str) -> None:
         nonlocal linked
         parts.append(s)
-        if state["link"]:
+        if links:
             linked += len(s.strip())
 
-    scanner = _Scanner(html)
-    scanner.run(start, end, text)
+    _Scanner(html).run(start, end, text)
     close_block()
     return out
 
 
-def surges(lengths: list[int], threshold: int, window: int = WINDOW) -> list[tuple[int, int]]:
+def _by_role(attributes: str) -> bool:
+    return any(m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").lower() in _ROLES for m in _ATTRIBUTE.finditer(attributes))
+
+
+def surges(lengths: list[float], threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Runs of lines [surge, dive): from the first line of a window whose sum is over the threshold (and isn't empty) to where the lines of a window have fallen to nothing."""
     n = len(lengths)
-    sums, total = [0] * n, 0
-    for i in range(n - 1, -1, -1):
-        total += lengths[i] - (lengths[i + window] if i + window < n else 0)
-        sums[i] = total
+    sums = [sum(lengths[i : i + window]) for i in range(n)]
     out, i = [], 0
     while i < n:
         if lengths[i] and sums[i] > threshold:
@@ -295,26 +360,39 @@ def surges(lengths: list[int], threshold: int, window: int = WINDOW) -> list[tup
     return out
 
 
-def _chosen(found: list[tuple[str, int, int, int]]) -> list[str]:
-    best = max((rank for _, _, rank, away in found if not away), default=0)
-    if best:
-        lengths, threshold = [0 if away or rank < best else len(s) for s, _, rank, away in found], 0
-    else:
-        lengths, threshold = [0 if away or 2 * link > len(s) else len(s) for s, link, _, away in found], SURGE
-    runs = surges(lengths, threshold)
-    if not runs and threshold:  # a page of a few short lines has no surge
-        runs = surges(lengths, 0)
-    return [found[k][0] for a, z in runs for k in range(a, z) if lengths[k]]
+def _chosen(found: list[Line], lifted: bool, window: int = WINDOW) -> list[str]:
+    """The lines between surges and dives; lifted: whether articles in furniture count as such."""
+    priors = [x.prior if lifted or not x.lifted else 0.0 for x in found]
+    if lifted:
+        priors = [p if x.lifted else 0.0 for x, p in zip(found, priors, strict=True)]
+    mass = lambda least: sum(len(x.text) for x, p in zip(found, priors, strict=True) if p == 1 and x.rank >= least and (x.rank or 2 * x.linked <= len(x.text)))
+    total = mass(0)
+    mark = next((r for r in (3, 2, 1) if (m := mass(r)) and m >= MARK * total), 0)
+    weights: list[float] = []
+    at: list[int] = []
+    for k, (x, p) in enumerate(zip(found, priors, strict=True)):
+        weights += [0.0] * x.gap
+        at += [-1] * x.gap
+        if mark:
+            w = NAMED * p * len(x.text) if x.rank < mark else p * len(x.text) + (SURGE if p == 1 else 0)
+        else:
+            w = 0.0 if 2 * x.linked > len(x.text) else p * len(x.text)
+        weights.append(w)
+        at.append(k)
+    runs = surges(weights, SURGE, window)
+    if not runs and not mark:  # a page of a few short lines
+        weights = [w if k >= 0 and priors[k] == 1 else 0.0 for w, k in zip(weights, at, strict=True)]
+        runs = surges(weights, max((sum(weights[i : i + window]) for i in range(len(weights))), default=0.0) / 2, window)
+    return [found[at[k]].text for a, z in runs for k in range(a, z) if weights[k]]
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     found = lines(html)
-    out = _chosen(found)
-    if any(away == 2 for *_, away in found):
-        held = _chosen([(s, link, rank, 0 if away == 2 else 1) for s, link, rank, away in found])
-        out = max(out, held, key=lambda x: sum(map(len, x)))
+    out = _chosen(found, False)
+    if any(x.lifted for x in found):
+        out = max(out, _chosen(found, True), key=lambda x: sum(map(len, x)))
     return "\n".join(out)
 
 

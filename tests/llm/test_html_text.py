@@ -4,7 +4,7 @@ from html import escape
 
 import pytest
 
-from rasterloom.llm.html_text import extract, main_text, surges
+from rasterloom.llm.html_text import extract, main_text, op2_html_extraction, surges
 
 from .common import invented
 
@@ -74,13 +74,77 @@ def test_surge_and_dive():
     assert surges([1, 0, 0, 0, 2], 0) == [(0, 1), (4, 5)]
 
 
-@pytest.mark.parametrize("part", ["<", "<a ", "<p", "</", "<!--", "&", "<a x='", "<div class=", "<p>x", "<nav>", "<script>", "<article>", "a=\"'"])
+@pytest.mark.parametrize("part", ["<", "<a ", "<p", "</", "<!--", "&", "<a x='", "<div class=", "<p>x", "<nav>", "<script>", "<article>", "a=\"'", "<svg>", "<math>x", "<nav><article>", "<article><nav>", "<div class=ad><p>", "<span class=ad>", "<a><div>", "<table><tr><td>"])
 def test_broken_and_very_long_pages_take_linear_time(part):
     began = time.time()
     main_text(part * 100_000)
+    main_text("<nav>" + part * 50_000 + "</article>" * 50_000)
     assert time.time() - began < 20
 
 
+@pytest.mark.parametrize("open_, close", [("<p class='social-history'>", "</p>"), ("<div class='related-work'><p>", "</p></div>"), ("<section class='comment-on-theory'><p>", "</p></section>"), ("<h2 id=search>", "</h2>"), ("<table class='alert-levels'><tr><td>", "</td></tr></table>"), ("<math><mi>", "</mi></math>"), ("<p class=social>", "</p>")])
+@pytest.mark.parametrize("words", ["Short.", P])
+def test_blocks_of_an_article_stay(open_, close, words):
+    page = f"<nav><a href=/>Home</a></nav><article><p>{P} one</p>{open_}{words}{close}<p>{P} two</p></article><footer>f</footer>"
+    assert main_text(page) == f"{P} one\n{words}\n{P} two"
+
+
+def brute_surges(lengths, threshold, window):
+    """Runs as the docstring says it, from every place anew."""
+    total = lambda i: sum(lengths[i : i + window])
+    kept, inside = [], False
+    for i, x in enumerate(lengths):
+        inside = (inside and total(i) > 0) or (x > 0 and total(i) > threshold)
+        kept.append(inside and x > 0)
+    return kept
+
+
+def test_surges_match_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        lengths = [r.choice((0, 0, 0, 5, 40, 90, 200)) for _ in range(r.randint(0, 30))]
+        got = [False] * len(lengths)
+        for a, z in surges(lengths, 120):
+            for k in range(a, z):
+                got[k] = lengths[k] > 0
+        assert got == brute_surges(lengths, 120, 3)
+
+
+def unmarked(r, k):
+    """A page that marks no article, and its text."""
+    blocks = [invented(r, r.choice((30, 60, 120))) for _ in range(r.randint(2, 8))]
+    tag = ("p", "div", "p")[k % 3]
+    body = f"<h1>{invented(r, 4)} head</h1>"
+    side = f"<div><div>{invented(r, 5)}</div></div>"
+    foot = f"<footer>{invented(r, 20)}</footer>"
+    nav = "<ul>" + "".join(f"<li><a href=/>{invented(r, 2)}</a></li>" for _ in range(5)) + "</ul>"
+    page = f"<html><head><title>t</title></head><body>{nav}{side}<div>{body}" + "".join(f"<{tag}>{escape(b)}</{tag}>" for b in blocks) + f"</div>{foot}</body></html>"
+    return page, "\n".join([body[4:-5], *blocks])
+
+
+def test_lengths_alone_find_the_article_of_unmarked_pages():
+    r = random.Random(8)
+    for k in range(60):
+        page, want = unmarked(r, k)
+        assert main_text(page) == want
+
+
+def test_without_surges_and_dives_most_pages_come_out_otherwise(monkeypatch):
+    from rasterloom.llm import html_text
+
+    r = random.Random(9)
+    pages = [unmarked(r, k)[0] for k in range(20)]
+    pages += [f"<nav><a href=/>x</a></nav><div class=ad>{invented(r, 9)}</div><article><h1>{invented(r, 4)}</h1><p>{invented(r, 40)}</p></article><footer>f</footer>" for _ in range(20)]
+    was = [main_text(x) for x in pages]
+    monkeypatch.setattr(html_text, "surges", lambda lengths, threshold, window=3: [(0, len(lengths))])
+    assert sum(main_text(x) != y for x, y in zip(pages, was, strict=True)) == len(pages)
+
+
+def test_a_short_mark_beside_the_text_is_no_mark():
+    page = f"<article><p>Teaser</p></article><div><p>{P} a</p><p>{P} b</p><p>{P} c</p></div>"
+    assert main_text(page) == f"{P} a\n{P} b\n{P} c"
+
+
 def test_rows_and_columns(spark):
     rows = [(1, "u", f"<article>{P}</article>", "old", 7, "k"), (1, "u", f"<article>{P}</article>", "old", 7, "k"), (None, None, None, None, None, None), (2, "v", "é\U0001f600", "old", 7, "k")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long, row string")
@@ -88,3 +152,10 @@ def test_rows_and_columns(spark):
     assert got.columns == ["page_id", "url", "row", "text", "n_chars"]
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got.collect()) == [("1", P, len(P)), ("1", P, len(P)), ("2", "é\U0001f600", 2), ("None", "", 0)]
     assert extract(d.where("false")).count() == 0
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame([(1, "u", f"<article><p>{P}</p></article>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op2_html_extraction(spark, str(tmp_path))
+    assert got.dtypes == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted([str((1, "u", P, len(P))), str((2, None, "", 0))])
