@@ -9,10 +9,12 @@ states, and the text's score is that of its most toxic window. Words are digits,
 Learning takes at most `per_label` labelled rows of each label, of at most `max_chars` characters (both parameters), the
 first by hash of their id. Of a toxic text, the windows of the strongest leaning are the examples; of a clean one those and
 others. Leanings of the examples come from the other half of the sample, so that the network learns what held-out words look like.
+How many
+words go without their learned vectors in a step is chosen among DROPOUTS by a network of one half of the sample, tried on the other.
 A last shift puts 0.5 where the two labels of the sample part best. With fewer than two labels every score is their share.
 
 Null and empty texts have one window without words. Repeated rows get a score each. Labels that are null are ignored, and of
-several labels of an id the toxic one counts. Only ids and texts are read; a score depends on the text alone.
+several labels of an id the toxic one counts. Of ids that stand for many rows, 4 x `per_label` rows count, by hash. Only ids and texts are read; a score depends on the text alone.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ BATCH = 4096
 EPOCHS = 12
 #: A small sample takes more epochs, of smaller batches, until there are so many.
 LEAST_STEPS = 600
+#: Shares of words whose learned vectors are left out of a step, one of which the sample itself chooses.
+DROPOUTS = (0.25, 0.75)
 
 
 def _types(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -207,7 +211,7 @@ class Network:
             dx += dg_all @ p[f"W{d}"].T
         return out, dx
 
-    def fit(self, x: np.ndarray, words: np.ndarray, heads: np.ndarray, on: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, seed: int = 3, rate: float = 0.01) -> None:
+    def fit(self, x: np.ndarray, words: np.ndarray, heads: np.ndarray, on: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, dropout: float, seed: int = 3, rate: float = 0.01) -> None:
         """x: (n, T, 5) fixed inputs; words, heads: (n, T) rows of the learned vectors. Adam."""
         r, n, at = np.random.default_rng(seed), len(y), 0
         size = min(256, max(32, n // 32))
@@ -219,8 +223,8 @@ class Network:
             for i in range(0, n, size):
                 b = order[i : i + size]
                 wk, hk, o = words[b].T, heads[b].T, on[b].T[:, :, None]
-                # learned vectors of half of the words are left out, so that they aren't a memory of the sample
-                use = o * (r.random(o.shape) < 0.5)
+                # learned vectors of a share of the words are left out, so that they aren't a memory of the sample
+                use = o * (r.random(o.shape) >= dropout)
                 full = np.concatenate([x[b].transpose(1, 0, 2), self.p["words"][wk] * use, self.p["heads"][hk] * use], axis=2).astype(np.float32)
                 g, dx = self.gradients(full, o, y[b], weight[b])
                 for name, key, cols in (("words", wk, slice(5, 5 + LEARNED)), ("heads", hk, slice(5 + LEARNED, N_IN))):
@@ -274,6 +278,12 @@ class Model:
         return _sigmoid(self.logits(data, off) + self.shift)
 
 
+def _area(score: np.ndarray, label: np.ndarray) -> float:
+    """Share of (toxic, clean) pairs in order; a tie counts half."""
+    bad, good = np.sort(score[label == 1]), np.sort(score[label == 0])
+    return float((np.searchsorted(good, bad, "left") + np.searchsorted(good, bad, "right")).mean() / (2 * len(good)))
+
+
 def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     prior = float(labels.mean()) if len(labels) else 0.0
     if len(np.unique(labels)) < 2:
@@ -289,7 +299,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     learn = lambda ids: Leanings.learn([per[i][0] for i in ids], [per[i][1] for i in ids], labels[ids])
     other = [learn(np.flatnonzero(fold != f)) for f in (0, 1)]
     r = np.random.default_rng(11)
-    xs, ws, hs, ons, ys = [], [], [], [], []
+    xs, ws, hs, ons, ys, own = [], [], [], [], [], []
     final = learn(np.arange(len(texts)))
     per.clear()
     for i in range(len(texts)):
@@ -310,18 +320,36 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
             hs.append(heads[k[w]].astype(np.int32))
             ons.append(place[w] >= 0)
             ys.append(labels[i])
+            own.append(fold[i])
     y = np.array(ys, np.float32)
     if len(np.unique(y)) < 2:
         return Model(None, None, 0.0, prior)
-    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
-    net = Network()
-    net.fit(np.array(xs), np.array(ws), np.array(hs), np.array(ons), y, weight, epochs)
-    # whole texts, each with the leanings of the other half
+    x, words, heads, on, own = np.array(xs), np.array(ws), np.array(hs), np.array(ons), np.array(own)
+
+    def trained(use: np.ndarray, dropout: float) -> Network:
+        n, bad = use.sum(), y[use].sum()
+        net = Network()
+        net.fit(x[use], words[use], heads[use], on[use], y[use], np.where(y[use] == 1, n / (2 * bad), n / (2 * (n - bad))).astype(np.float32), epochs, dropout)
+        return net
+
+    def whole(net: Network, f: int) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of a fold and their logits, with the leanings of the other."""
+        ids = np.flatnonzero(fold == f)
+        return ids, Model(net, other[f], 0.0, prior).logits(*utf8(pa.array([texts[i] for i in ids], pa.string())))
+
+    # learned on one half, tried on the other
+    half, dropout = own == 0, DROPOUTS[-1]
+    if all(len(np.unique(v)) == 2 for v in (y[half], labels[fold == 1])):
+        tried = []
+        for v in DROPOUTS:
+            ids, got = whole(trained(half, v), 1)
+            tried.append(_area(got, labels[ids]))
+        dropout = DROPOUTS[int(np.argmax(tried))]
+    net = trained(np.ones(len(y), bool), dropout)
     logit = np.zeros(len(texts))
     for f in (0, 1):
-        ids = np.flatnonzero(fold == f)
-        d, o = utf8(pa.array([texts[i] for i in ids], pa.string()))
-        logit[ids] = Model(net, other[f], 0.0, prior).logits(d, o)
+        ids, got = whole(net, f)
+        logit[ids] = got
     order = np.argsort(logit, kind="stable")
     s, hit = logit[order], labels[order] == 1
     # the share of each label on its side when the cut stands before the k-th
@@ -351,7 +379,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64)))], pa.binary())], names=["model"])
 
-    found = got.select("_doc", "_text", "_label").limit(4 * per_label).mapInArrow(learn, "model binary").collect()
+    # of ids that stand for many rows, always the same ones
+    found = got.select("_doc", "_text", "_label").orderBy(F.xxhash64("_doc"), "_doc", F.xxhash64("_text"), "_text").limit(4 * per_label).mapInArrow(learn, "model binary").collect()
     return pickle.loads(found[0][0]) if found else fit([], np.zeros(0, np.int64))
 
 

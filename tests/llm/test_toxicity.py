@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -87,6 +89,62 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2e-2 - g[name].reshape(-1)[k]) < 2e-3, name
 
 
+def plain_score(model, text):
+    """The score of a text by loops over windows, words and units, in plain numbers."""
+    data = T.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+    inv, first, flat, begin, kinds = T._types(data, np.array([0, len(data)]))
+    p, net, logits = {k: v.astype(float) for k, v in model.network.p.items()}, T.HIDDEN, []
+    x = model.leanings.inputs(flat, begin, kinds)
+    words, heads = T._learned_keys(flat, begin, kinds)
+    vectors = [[*x[k], *p["words"][words[k]], *p["heads"][heads[k]]] for k in inv]
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for start in range(0, max(len(vectors) - T.WINDOW, 0) + T.STRIDE, T.STRIDE) if vectors else [0]:
+        win = vectors[start : start + T.WINDOW]
+        if start and start + T.WINDOW - T.STRIDE >= len(vectors):
+            break
+        states = [[] for _ in win]
+        for d in "fb":
+            h = [0.0] * net
+            for t in range(len(win)) if d == "f" else reversed(range(len(win))):
+                g = [sum(a * w for a, w in zip(win[t], p[f"W{d}"][:, j], strict=True)) + p[f"c{d}"][j] for j in range(3 * net)]
+                v = [sum(a * w for a, w in zip(h, p[f"U{d}"][:, j], strict=True)) for j in range(3 * net)]
+                new = []
+                for j in range(net):
+                    z, r = sig(g[j] + v[j]), sig(g[net + j] + v[net + j])
+                    m = math.tanh(g[2 * net + j] + r * v[2 * net + j])
+                    new.append(m + z * (h[j] - m))
+                h = new
+                states[t] += h
+        e = [math.exp(sum(a * w for a, w in zip(s, p["a"], strict=True))) for s in states]
+        pooled = [sum(w * s[j] for w, s in zip(e, states, strict=True)) / sum(e) for j in range(2 * net)] if e else [0.0] * 2 * net
+        logits.append(sum(a * w for a, w in zip(pooled, p["w"], strict=True)) + p["b"][0])
+    return sig(max(logits) + model.shift)
+
+
+def test_scores_match_plain_loops(spark, model):
+    r = random.Random(5)
+    texts = ["", None, "one", *(invented(r, n) for n in (5, 31, 32, 33, 48, 49, 100)), invented(r, 40) + " snorviks " + invented(r, 40)]
+    got = {x.doc_id: x.score for x in T.score(docs(spark, list(enumerate(texts))), model).collect()}
+    for k, t in enumerate(texts):
+        assert abs(got[k] - plain_score(model, t)) < 1e-5, t
+
+
+def test_repeated_ids_give_the_same_model(spark):
+    rows, labels = world(90)
+    rows = rows + [(i, t + " x") for i, t in rows for _ in range(5)]
+    a, b = (T.train(docs(spark, d).repartition(n), table(spark, labels), per_label=20) for d, n in ((rows, 2), (rows[::-1], 5)))
+    assert np.array_equal(a.network.p["w"], b.network.p["w"]) and a.shift == b.shift
+
+
+def test_query(spark, tmp_path):
+    rows, labels = world(120)
+    docs(spark, [*rows, *edge_rows()[:6]]).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, labels).write.parquet(f"{tmp_path}/labels.parquet")
+    got = T.op4_toxicity(spark, str(tmp_path))
+    assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) and x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in got.collect())
+
+
 def test_edges(spark, model):
     d = docs(spark, edge_rows(), extra=True)
     got = T.score(d, model).collect()
