@@ -159,11 +159,11 @@ class Raster:
         new = {v: (F.col(v) if fill is None else F.coalesce(F.col(v), F.lit(fill))).cast(kind) for v in self.variables}
         return replace(self, pixels=self.pixels.withColumns(new))
 
-    def dense(self) -> DataFrame:
-        """A row for every cell of the grid (and time), with NULL where there is no pixel."""
+    def dense(self, times: DataFrame | None = None) -> DataFrame:
+        """A row for every cell of the grid (and time, of those given or else of those that the pixels have), with NULL where there is no pixel."""
         g, spark = self.grid, self.pixels.sparkSession
         cells = spark.range(g.nx * g.ny).select(F.floor(F.col("id") / g.nx).cast("int").alias("yi"), (F.col("id") % g.nx).cast("int").alias("xi"))
         if self.has_time:
-            times = self.pixels.select("time").distinct()  # few: the steps of a time axis
-            cells = cells.crossJoin(F.broadcast(times))
+            steps = times if times is not None else self.pixels.select("time").distinct()
+            cells = cells.crossJoin(F.broadcast(steps))  # few: the steps of a time axis
         return cells.join(self.pixels, self.keys, "left").select(*self.keys, *self.variables)

@@ -18,7 +18,7 @@ from ..grid import Grid, Raster, maybe_broadcast, small_table
 from .area import cell_area
 from .clip import bbox_window, window_filter
 
-KERNELS = {"bilinear": 1.0, "cubic": 2.0, "cubic_spline": 2.0, "lanczos": 3.0}
+KERNELS = {"bilinear": 1.0, "cubic": 2.0, "cubic_spline": 2.0, "lanczos": 3.0, "gauss": 1.5}
 OVERLAPS = ("average", "mode", "max", "min", "med", "q1", "q3", "sum", "rms")
 METHODS = ("nearest", *KERNELS, *OVERLAPS)
 
@@ -31,6 +31,8 @@ def _kernel(method: str, x: np.ndarray) -> np.ndarray:
         return np.where(a <= 1, 1.5 * a**3 - 2.5 * a**2 + 1, np.where(a < 2, -0.5 * a**3 + 2.5 * a**2 - 4 * a + 2, 0))
     if method == "cubic_spline":
         return np.where(a <= 1, (4 - 6 * a**2 + 3 * a**3) / 6, np.where(a < 2, (2 - a) ** 3 / 6, 0))
+    if method == "gauss":  # half a cell wide, cut at three times that
+        return np.where(a <= 1.5, np.exp(-2 * a**2), 0)
     return np.where(a < 3, np.sinc(x) * np.sinc(x / 3), 0)
 
 

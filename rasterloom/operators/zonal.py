@@ -46,10 +46,16 @@ def positional_legend(meanings: str | list[str]) -> dict[int, str]:
 
 
 def _wide(long: DataFrame, key: str, keys: list[str], metric: str, names: dict) -> DataFrame:
-    """A column for each name and their sum, NULL for a class that a time lacks; one row without time."""
-    cols = [F.sum(F.when(F.col(key) == F.lit(c), F.col(metric))).alias(n) for c, n in names.items()]
+    """A column for each name and their sum, NULL for a class that a time lacks; one row without time. Codes of one name share its column."""
+    codes: dict[str, list] = {}
+    for c, n in names.items():
+        codes.setdefault(n, []).append(c)
+    taken = {x.lower() for x in (*keys, TOTAL)}
+    if bad := [n for n in codes if n.lower() in taken]:
+        raise ValueError(f"no class can be named {bad}")
+    cols = [F.sum(F.when(F.col(key).isin(own), F.col(metric))).alias(n) for n, own in codes.items()]
     wide = long.groupBy(*keys).agg(*cols) if cols else long.groupBy(*keys).agg(F.lit(0).alias("_none")).drop("_none")
-    parts = [F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names.values()]
+    parts = [F.coalesce(F.col("`" + n.replace("`", "``") + "`"), F.lit(0.0)) for n in codes]
     total: Column = F.lit(0.0)
     for p in parts:
         total = total + p
@@ -77,11 +83,16 @@ def class_area(raster: Raster, area: Area = None, var: str | None = None, count_
 
 
 def combine_classes(primary: Raster, secondary: Raster, drop_zero: bool = True) -> DataFrame:
-    """([time,] yi, xi, p, s, code) of cells that both rasters have on one grid: code is p + s / 10, or 0 where either is 0 and drop_zero is set, even if the other is missing; otherwise NULL where either is missing. p and s stay the real keys, as codes of s from 10 on collide."""
+    """([time,] yi, xi, p, s, code) of cells that either raster has on one grid (a static one counts at each time of the other): code is p + s / 10, or 0 where either is 0 and drop_zero is set, even if the other is missing or has no row; otherwise NULL where either is missing. p and s stay the real keys, as codes of s from 10 on collide."""
     a, b = primary.select(), secondary.select()
     left, right = a.pixels.withColumnRenamed(a.variables[0], "p"), b.pixels.withColumnRenamed(b.variables[0], "s")
     on = [k for k in KEYS if k in left.columns and k in right.columns]
-    d = left.join(right, on)
+    if len(left.columns) == len(right.columns):
+        d = left.join(right, on, "full")
+    else:  # a static raster at the times of the other: a cell without a row at any of them is of no time
+        timed, static = (left, right) if "time" in left.columns else (right, left)
+        times = F.broadcast(timed.select("time").distinct())  # few: the steps of a time axis
+        d = timed.join(static.crossJoin(times), [*on, "time"], "full")
     code = F.col("p").cast("double") + F.col("s") / 10
     if drop_zero:
         code = F.when((F.col("p") == 0) | (F.col("s") == 0), 0.0).otherwise(code)

@@ -384,3 +384,6 @@ def manifest_paths(spark: SparkSession, d: str) -> DataFrame:
 def flag_meanings(spark: SparkSession, d: str) -> DataFrame:
     names = legend_of(fine(spark, d))
     return spark.createDataFrame(list(enumerate(names)), "place int, meaning string")
+
+
+from . import ingest_queries  # noqa: E402, F401  (its queries are registered here)

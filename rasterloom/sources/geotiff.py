@@ -3,14 +3,19 @@
 Baseline and tiled TIFF, classic and BigTIFF, both byte orders; 8- to 64-bit integers and 32- and 64-bit floats; no compression, deflate, LZW and PackBits; predictors 1, 2
 and 3; bands in chunky or planar order. Georeferencing from the model tags (scale and tie point, or transformation) and the geographic or projected EPSG key. Anything else raises ValueError.
 
-Files are found and read through Spark's binaryFile reader (any store), or, for read_local(), from a local path with only the
-blocks of a window being read.
+A task opens its file by a range-reading client (local and mounted paths, file:, s3:, s3a:, gs:, hdfs:) and fetches the blocks of its
+window alone. Other stores are read by Spark's binaryFile reader, a whole file a task. Headers are read on the driver, in any store, by
+ranges. write_geotiffs() is the sink: a file for each strip of rows, written by the tasks that hold them.
 """
 
 from __future__ import annotations
 
+import io
+import json
 import os
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,9 +24,11 @@ from typing import Any, BinaryIO
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..grid import Grid
+from ..grid import Grid, Raster
+from ..session import Files, ready
 
 #: Rows and columns of a window: what one task of the data source decodes.
 WINDOW = 4000
@@ -204,13 +211,59 @@ class Tiff:
 
 def _rows(path: str, t: Tiff, f: BinaryIO, y0: int, y1: int, x0: int, x1: int) -> Iterator[pa.RecordBatch]:
     """Pixels of a window, some rows at a time; no data and NaN as null."""
-    step = max(1, (1 << 18) // max(1, x1 - x0))
-    for a in range(y0, y1, step):
-        z = min(y1, a + step)
+    # in steps of whole blocks, so that none is decoded twice
+    high = t.one(323) if 322 in t.tags else min(t.one(278, t.height), t.height)
+    step = max(1, (1 << 18) // max(1, (x1 - x0) * high)) * high
+    a = y0
+    while a < y1:
+        z = min(y1, (a // high) * high + step)
         values = t.read(f, a, z, x0, x1).astype(float)
         missing = np.isnan(values) if t.nodata is None else np.isnan(values) | (values == t.nodata)
         band, yi, xi = np.indices(values.shape, dtype=np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([path] * values.size), pa.array(band.ravel()), pa.array(yi.ravel() + np.int32(a)), pa.array(xi.ravel() + np.int32(x0)), pa.array(values.ravel(), mask=missing.ravel())], names=["path", "band", "yi", "xi", "value"])
+        a = z
+
+
+#: Stores whose files a Python worker reads by ranges.
+RANGED = ("file", "s3", "s3a", "gs", "hdfs")
+
+
+def _scheme(path: str) -> str:
+    return path.partition(":")[0] if re.match(r"[a-z][a-z0-9+.-]+:/", path) else "file"
+
+
+def open_file(path: str, write: bool = False) -> BinaryIO:
+    """A file of a store in RANGED, for reading by ranges or for writing."""
+    if _scheme(path) == "file":
+        return open(_plain(path), "wb" if write else "rb")
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return store.open_output_stream(inner) if write else store.open_input_file(inner)
+
+
+class _Ranges(io.RawIOBase):
+    """A file read in pieces by read(start, size)."""
+
+    def __init__(self, read, piece: int = 1 << 16) -> None:
+        self.get, self.piece, self.at, self.start, self.held = read, piece, 0, 0, b""
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        self.at = at
+        return at
+
+    def read(self, size: int = -1) -> bytes:
+        if not self.start <= self.at <= self.at + size <= self.start + len(self.held):
+            self.start, self.held = self.at, self.get(self.at, max(size, self.piece))
+        out = self.held[self.at - self.start : self.at - self.start + size]
+        self.at += len(out)
+        return out
+
+
+def open_header(spark: SparkSession, path: str) -> Tiff:
+    """The header of a file in any store, without its pixels."""
+    files = Files(spark)
+    return Tiff.open(_Ranges(lambda start, size: files.read(path, start, size)))
 
 
 @dataclass
@@ -224,19 +277,22 @@ class _Window(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.paths = options["path"].split(",")
+        self.paths = json.loads(options["files"]) if "files" in options else options["path"].split(",")
         self.window = int(options.get("window", WINDOW))
 
     def partitions(self) -> list[_Window]:
         out = []
         for path in self.paths:
-            with open(path, "rb") as f:
+            with open_file(path) as f:
                 t = Tiff.open(f)
-            out += [_Window(path, y, min(y + self.window, t.height), x, min(x + self.window, t.width)) for y in range(0, t.height, self.window) for x in range(0, t.width, self.window)]
+            # windows of whole blocks
+            w, h = (t.one(322), t.one(323)) if 322 in t.tags else (1, min(t.one(278, t.height), t.height))
+            across, down = -(-self.window // w) * w, -(-self.window // h) * h
+            out += [_Window(path, y, min(y + down, t.height), x, min(x + across, t.width)) for y in range(0, t.height, down) for x in range(0, t.width, across)]
         return out
 
     def read(self, partition: _Window) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
+        with open_file(partition.path) as f:
             yield from _rows(partition.path, Tiff.open(f), f, partition.y0, partition.y1, partition.x0, partition.x1)
 
 
@@ -256,14 +312,19 @@ class GeoTiffSource(DataSource):
 
 def read_local(spark: SparkSession, *paths: str, window: int = WINDOW) -> DataFrame:
     """Files on a file system that all executors mount, a task for each window."""
-    spark.dataSource.register(GeoTiffSource)
-    return spark.read.format("geotiff").option("window", window).load(",".join(os.path.abspath(p) for p in paths))
+    return read_windows(spark, [os.path.abspath(p) for p in paths], window)
+
 
+def read_windows(spark: SparkSession, paths: list[str], window: int = WINDOW) -> DataFrame:
+    """Files of stores in RANGED, a task for each window; no file is read whole and nothing is shuffled."""
+    ready(spark).dataSource.register(GeoTiffSource)
+    return spark.read.format("geotiff").option("window", window).option("files", json.dumps(paths)).load()
 
-def read_geotiffs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, band, yi, xi, value) of files in any store that Spark reads, a task for one or more whole files; a file must fit in an executor's memory (2 GB at most; larger ones belong in a mounted file system). path is as it was given."""
-    import io
 
+def read_geotiffs(spark: SparkSession, paths: list[str], window: int = WINDOW) -> DataFrame:
+    """(path, band, yi, xi, value) of files in any store that Spark reads. Those of RANGED stores have a task for each window; of others a task takes one or more whole files, each of which must fit in an executor's memory (2 GB at most). path is as it was given."""
+    if all(_scheme(p) in RANGED for p in paths):
+        return read_windows(spark, paths, window)
     names = {_plain(p): p for p in paths}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +334,7 @@ def read_geotiffs(spark: SparkSession, paths: list[str]) -> DataFrame:
                 t = Tiff.open(f)
                 yield from _rows(names.get(_plain(path), path), t, f, 0, t.height, 0, t.width)
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.repartition(max(1, len(paths)), "path").mapInArrow(run, SCHEMA)
+    return ready(spark).read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def _plain(path: str) -> str:
@@ -283,16 +343,49 @@ def _plain(path: str) -> str:
 
 def tiff_grid(spark: SparkSession, path: str) -> Grid:
     """The grid of a file: georeference and size, from its header."""
-    import io
+    return open_header(spark, path).grid()
+
+
+def write_geotiffs(raster: Raster, folder: str, rows: int = 256, nodata: float = -1.0, compress: str = "deflate") -> DataFrame:
+    """(path, y_lo, ny): a file for each strip of `rows` rows of a static raster of one variable, written by the task that holds the strip. Cells without a value hold nodata. folder: of a store in RANGED that the executors can write."""
+    r = raster.select()
+    spark, grid, v = ready(r.pixels.sparkSession), r.grid, r.variables[0]
+    if _scheme(folder) not in RANGED:
+        raise ValueError(f"no writer for {folder}")
+    kind = {"tinyint": "int16", "smallint": "int16", "int": "int32", "float": "float32"}.get(dict(r.pixels.dtypes)[v], "float64")
+
+    def write(key: tuple, part: pa.Table) -> pa.Table:
+        k = int(key[0].as_py())
+        y_lo, ny = k * rows, min(rows, grid.ny - k * rows)
+        values = part["v"].drop_null() if part.num_rows else part["v"]
+        ok = part["v"].is_valid().to_numpy()
+        a = np.full((1, ny, grid.nx), nodata, kind)
+        a[0, part["yi"].to_numpy()[ok] - y_lo, part["xi"].to_numpy()[ok]] = values.to_numpy()
+        path = f"{folder}/strip_{k}.tif"
+        data = tiff_bytes(a, grid.window(0, grid.nx - 1, y_lo, y_lo + ny - 1), nodata, None, compress)
+        if _scheme(folder) == "file":  # a second attempt at the same strip may run beside the first
+            os.makedirs(_plain(folder), exist_ok=True)
+            temporary = f"{_plain(path)}.{uuid.uuid4().hex}"
+            with open(temporary, "wb") as f:
+                f.write(data)
+            os.replace(temporary, _plain(path))
+        else:
+            with open_file(path, write=True) as f:
+                f.write(data)
+        return pa.table({"path": [path], "y_lo": pa.array([y_lo], pa.int32()), "ny": pa.array([ny], pa.int32())})
 
-    if os.path.exists(_plain(path)):
-        with open(_plain(path), "rb") as f:
-            return Tiff.open(f).grid()
-    return Tiff.open(io.BytesIO(spark.read.format("binaryFile").load(path).select("content").first()[0])).grid()
+    strips = r.pixels.select(F.floor(F.col("yi") / rows).alias("strip"), "yi", "xi", F.col(v).alias("v"))
+    return strips.groupBy("strip").applyInArrow(write, "path string, y_lo int, ny int")
 
 
 def write_tiff(path: str, bands: np.ndarray, grid: Grid, nodata: float | None = None, tile: int | None = None, compress: str = "none", predictor: int = 1) -> None:
-    """A small writer: (bands, rows, columns), one file on the driver, strips of 64 rows or tiles; compress none or deflate."""
+    """One local file, see tiff_bytes()."""
+    with open(path, "wb") as f:
+        f.write(tiff_bytes(bands, grid, nodata, tile, compress, predictor))
+
+
+def tiff_bytes(bands: np.ndarray, grid: Grid, nodata: float | None = None, tile: int | None = None, compress: str = "none", predictor: int = 1) -> bytes:
+    """A file of (bands, rows, columns), in strips of 64 rows or tiles; compress none or deflate."""
     bands = np.asarray(bands)
     b, rows, cols = bands.shape
     chunky = np.ascontiguousarray(bands.transpose(1, 2, 0)).astype(bands.dtype.newbyteorder("<"))
@@ -335,8 +428,4 @@ def write_tiff(path: str, bands: np.ndarray, grid: Grid, nodata: float | None =
             value = struct.pack("<I", end + len(extra))
             extra += raw + b"\0" * (len(raw) % 2)
         body += struct.pack("<HHI", tag, kind_, n) + value
-    with open(path, "wb") as f:
-        f.write(struct.pack("<2sHI", b"II", 42, at))
-        for x in blocks:
-            f.write(x + b"\0" * (len(x) % 2))
-        f.write(struct.pack("<H", len(raw_tags)) + body + struct.pack("<I", 0) + extra)
+    return b"".join([struct.pack("<2sHI", b"II", 42, at), *(x + b"\0" * (len(x) % 2) for x in blocks), struct.pack("<H", len(raw_tags)), body, struct.pack("<I", 0), extra])

@@ -59,7 +59,8 @@ def test_coverage_of_a_polygon_adds_up_to_its_area(n, seed):
     angle = np.sort(r.random(n)) * 2 * np.pi
     radius = 1 + 8 * r.random(n)
     poly = P.oriented([np.stack([10 + radius * np.cos(angle), 10 + radius * np.sin(angle)], axis=1)])
-    if not poly:
+    # around its middle, else edges may cross
+    if not poly or np.diff(angle, append=angle[0] + 2 * np.pi).max() >= np.pi:
         return
     x = np.linspace(0, 20, 21)
     e = P.edges([poly])
@@ -258,7 +259,7 @@ def test_zone_columns(spark, tmp_path):
 def test_own_grid_is_the_identity(spark, method):
     r = raster(spark, [[1, 2, 3], [4, 5, 6]])
     got = cells(resample(r, r.grid, method).pixels)
-    if method != "cubic_spline":  # it smooths
+    if method not in ("cubic_spline", "gauss"):  # they smooth
         assert got == pytest.approx(cells(r.pixels))
     assert len(got) == 6
 
@@ -286,7 +287,7 @@ def test_align_cuts_first_and_keeps_times(spark):
     first = align(fine, coarse, first_time=True)[0]
     assert not first.has_time and cells(first.pixels)[1, 3] == 4
     with pytest.raises(ValueError):
-        resample(fine, coarse.grid, "gauss")
+        resample(fine, coarse.grid, "fancy")
 
 
 def test_overlap_methods(spark):
@@ -363,3 +364,23 @@ def test_category_stats(spark):
     t = raster(spark, [[[1, 1]], [[1, 2]]])
     out = category_stats(t, raster(spark, [[2, 4]]))
     assert {(x["time"].year, x["category"]): x["mean_value"] for x in out.collect()} == {(2000, 1): 3, (2001, 1): 2, (2001, 2): 4}
+
+
+def test_shared_and_taken_names(spark):
+    p = spark.createDataFrame([(0, k, k) for k in range(5)], "yi int, xi int, v int")
+    r = Raster(p, Grid(0.0, 0.0, 1.0, -1.0, 5, 1))
+    one = class_area(r, legend={1: "a`b", 2: "a`b", 3: "c"}).first().asDict()
+    assert one == {"a`b": 2.0, "c": 1.0, "total_area": 3.0}
+    with pytest.raises(ValueError):
+        class_area(r, legend={1: "total_area"})
+
+
+def test_combined_where_cells_have_no_row(spark):
+    grid = Grid(0.0, 0.0, 1.0, -1.0, 4, 1)
+    p = Raster(spark.createDataFrame([(0, 0, 0), (0, 1, 1), (0, 3, 2)], "yi int, xi int, v int"), grid)
+    s = Raster(spark.createDataFrame([(0, 1, 3), (0, 2, 0)], "yi int, xi int, w int"), grid)
+    assert {r["xi"]: r["code"] for r in combine_classes(p, s).collect()} == {0: 0.0, 1: 1.3, 2: 0.0, 3: None}
+    assert {r["xi"]: r["code"] for r in combine_classes(p, s, drop_zero=False).collect()} == {0: None, 1: 1.3, 2: None, 3: None}
+    t = s.with_time("2020-01-01")
+    got = combine_classes(p, t).collect()
+    assert {(r["time"].year, r["xi"]): r["code"] for r in got} == {(2020, 0): 0.0, (2020, 1): 1.3, (2020, 2): 0.0, (2020, 3): None}
