@@ -43,12 +43,6 @@ def bounds(polygons: list[Polygon]) -> tuple[float, float, float, float]:
     return float(v[:, 0].min()), float(v[:, 1].min()), float(v[:, 0].max()), float(v[:, 1].max())
 
 
-def touch(a: Polygon, b: Polygon) -> bool:
-    """Whether the interiors of their bounding boxes meet."""
-    p, q = bounds([a]), bounds([b])
-    return p[0] < q[2] and q[0] < p[2] and p[1] < q[3] and q[1] < p[3]
-
-
 def _crossings(e: np.ndarray) -> np.ndarray:
     """Heights at which edges cross each other."""
     out = []
@@ -76,10 +70,15 @@ def union(polygons: list[Polygon]) -> list[Polygon]:
             k = group[k]
         return k
 
-    for i in range(len(polygons)):
-        for j in range(i):
-            if find(i) != find(j) and touch(polygons[i], polygons[j]):
+    # a sweep over x: only polygons whose boxes are open side by side are compared
+    boxes = [bounds([p]) for p in polygons]
+    active: list[int] = []
+    for i in sorted(range(len(polygons)), key=lambda k: boxes[k][0]):
+        active = [j for j in active if boxes[j][2] > boxes[i][0]]
+        for j in active:
+            if boxes[i][1] < boxes[j][3] and boxes[j][1] < boxes[i][3] and find(i) != find(j):
                 group[find(i)] = find(j)
+        active.append(i)
     sets: dict[int, list[Polygon]] = {}
     for k, p in enumerate(polygons):
         sets.setdefault(find(k), []).append(p)
@@ -119,6 +118,33 @@ def _slabs(members: list[Polygon]) -> list[Polygon]:
     return out
 
 
+class EdgeIndex:
+    """Edges in bands of height, so that a row of a grid looks at those near it and not at all. An edge stands in each band that it crosses; bands are as many as edges at most, and an edge that crosses more than 64 is looked at by every row."""
+
+    def __init__(self, e: np.ndarray) -> None:
+        self.e = e
+        lo, hi = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+        self.lo, self.hi = lo, hi
+        self.base = float(lo.min()) if len(e) else 0.0
+        span = float(hi.max()) - self.base if len(e) else 0.0
+        self.n = max(1, len(e))
+        self.step = span / self.n or 1.0
+        a, z = (np.clip(((v - self.base) / self.step).astype(np.int64), 0, self.n - 1) for v in (lo, hi))
+        self.tall = np.flatnonzero(z - a >= 64)
+        short = np.flatnonzero(z - a < 64)
+        size = z[short] - a[short] + 1
+        band = np.repeat(a[short], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        order = np.argsort(band, kind="stable")
+        self.band, self.edge = band[order], np.repeat(short, size)[order]
+
+    def between(self, y_lo: float, y_hi: float) -> np.ndarray:
+        """Edges that meet [y_lo, y_hi], in their own order."""
+        a, z = ((v - self.base) / self.step for v in (y_lo, y_hi))
+        i, j = np.searchsorted(self.band, [np.floor(np.clip(a, 0, self.n - 1)), np.floor(np.clip(z, 0, self.n - 1)) + 1])
+        near = np.unique(np.concatenate([self.edge[i:j], self.tall]))
+        return self.e[near[(self.hi[near] >= y_lo) & (self.lo[near] <= y_hi)]]
+
+
 def scan_runs(e: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, start and end of the stretches of each horizontal line inside the edges (even-odd, half-open in y)."""
     row, lo, hi = [], [], []

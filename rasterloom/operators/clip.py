@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import polygons as P
 from ..functions.projection import normal_crs, transform
 from ..grid import Grid, Raster, maybe_broadcast
+from ..session import ready
 from .area import cell_area
 from .geometry import GeometryData, process_geometry
 
@@ -110,16 +111,17 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def geometry_runs(raster: Raster, geometry: GeometryData, all_touched: bool = False) -> DataFrame:
     """(yi, xi_lo, xi_hi): stretches of cells whose centres are inside, or with all_touched of cells that the geometry meets. Stretches of a row are disjoint. A centre on an edge counts as inside on the low side only."""
-    grid, spark = raster.grid, raster.pixels.sparkSession
+    grid, spark = raster.grid, ready(raster.pixels.sparkSession)
     ex, ey, cx, cy = grid.edges("x"), grid.edges("y"), grid.centres("x"), grid.centres("y")
     e = P.edges(geometry.polygons)
+    by_row = P.EdgeIndex(e)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for yi in pdf["id"]:
                 y_lo, y_hi = sorted((ey[yi], ey[yi + 1]))
-                near = e[(np.maximum(e[:, 1], e[:, 3]) >= y_lo) & (np.minimum(e[:, 1], e[:, 3]) <= y_hi)]
+                near = by_row.between(y_lo, y_hi)
                 _, lo, hi = P.scan_runs(near, np.array([cy[yi]]))
                 if not all_touched:
                     found = _cells(ex, lo, hi, cx)
@@ -178,7 +180,7 @@ def proportion_mask(raster: Raster, geometry: Any, pixel_ratio: float = 0.001, o
 
 def _coverage(raster: Raster, g: GeometryData, x_lo: int, x_hi: int, y_lo: int, y_hi: int) -> DataFrame:
     """(yi, xi_lo, xi_hi, proportion): stretches of cells of equal share, those of share 0 left out. Cells that are wholly inside make one stretch."""
-    ex, ey, e = raster.grid.edges("x"), raster.grid.edges("y"), P.edges(g.polygons)
+    ex, ey, by_row = raster.grid.edges("x"), raster.grid.edges("y"), P.EdgeIndex(P.edges(g.polygons))
     x = ex[x_lo : x_hi + 2]
     up = x[-1] > x[0]
 
@@ -187,7 +189,7 @@ def _coverage(raster: Raster, g: GeometryData, x_lo: int, x_hi: int, y_lo: int,
             out = []
             for yi in pdf["id"]:
                 a, z = sorted((ey[yi], ey[yi + 1]))
-                share = P.row_coverage(e, a, z, x if up else x[::-1])[:: 1 if up else -1] / (np.abs(np.diff(x)) * (z - a))
+                share = P.row_coverage(by_row.between(a, z), a, z, x if up else x[::-1])[:: 1 if up else -1] / (np.abs(np.diff(x)) * (z - a))
                 share = np.minimum(np.where(share > 1 - 1e-12, 1.0, np.where(share < 1e-12, 0.0, share)), 1.0)
                 cut = np.flatnonzero(np.diff(share, prepend=np.nan) != 0)
                 for i, j in zip(cut, np.append(cut[1:], len(share)), strict=True):
@@ -195,4 +197,4 @@ def _coverage(raster: Raster, g: GeometryData, x_lo: int, x_hi: int, y_lo: int,
                         out.append((yi, x_lo + i, x_lo + j - 1, share[i]))
             yield pd.DataFrame(out, columns=["yi", "xi_lo", "xi_hi", "proportion"]).astype({"yi": "int32", "xi_lo": "int32", "xi_hi": "int32", "proportion": "float64"})
 
-    return raster.pixels.sparkSession.range(y_lo, y_hi + 1).mapInPandas(rows, "yi int, xi_lo int, xi_hi int, proportion double")
+    return ready(raster.pixels.sparkSession).range(y_lo, y_hi + 1).mapInPandas(rows, "yi int, xi_lo int, xi_hi int, proportion double")

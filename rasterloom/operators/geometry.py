@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import polygons as P
 from ..functions.projection import normal_crs, transform, x_6933, y_6933
+from ..session import ready
 
 HECTARE = 1e-4
 #: Column type of a geometry: polygons of rings of points.
@@ -169,6 +170,7 @@ def dissolve_zones(zones: DataFrame, by: list[str], hectares: bool = True) -> Da
         out = [[[{"x": float(x), "y": float(y)} for x, y in [*r, r[0]]] for r in p] for p in P.union(flat)]
         return pd.DataFrame([[*key, out, projected_area(flat, "EPSG:4326", hectares), *P.bounds(flat)]], columns=[*by, "geom", "area", "minx", "miny", "maxx", "maxy"])
 
+    ready(zones.sparkSession)
     kinds = ", ".join(f"`{k}` {zones.schema[k].dataType.simpleString()}" for k in by)
     return zones.select(*by, "geom").groupBy(*by).applyInPandas(merge, f"{kinds}, geom {GEOMETRY}, area double, minx double, miny double, maxx double, maxy double")
 

@@ -58,7 +58,7 @@ def annual(spark: SparkSession, sf_dir: str) -> Raster:
     li = _table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), F.col("l_partkey").alias("cell"), "l_linenumber")
     best = li.groupBy("year", "cell").agg(F.max("l_linenumber").alias("value"))
     n = _rows(_table(spark, sf_dir, "part"), "p_partkey", 20)
-    years = best.select("year").distinct()  # seven
+    years = li.select("year").distinct()  # seven, of one narrow column
     cells = spark.range(20 * n).select(F.col("id").alias("cell")).crossJoin(F.broadcast(years))
     d = cells.join(best, ["year", "cell"], "left")
     p = d.select(F.make_timestamp("year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("time"), F.floor(F.col("cell") / 20).cast("int").alias("yi"), (F.col("cell") % 20).cast("int").alias("xi"), F.coalesce("value", F.lit(0)).alias("value"))
