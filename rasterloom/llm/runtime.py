@@ -1,35 +1,13 @@
-"""What the operators need from the session: workers that can import this package, and tables in the shared folder."""
+"""What the operators need beside the session: tables in the shared folder, joins on hot keys, and the input."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import the package from where the driver has it (an installed package needs nothing)."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir where it is set; one of our own only where driver and executors are one process (tests)."""
-    sc = spark.sparkContext
-    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not top:
-        if not (sc.master or "").startswith("local[") and sc.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-        sc.setCheckpointDir(top)
-    return top
+from ..session import ready, shared_dir
 
 
 def table(df: DataFrame, name: str = "t") -> DataFrame:
