@@ -1,10 +1,11 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds to them.
 
-The patterns (email, ip, card, phone) give the base spans. The field reads runs of words that hold a digit or an @ (any other
-word is outside, which cuts the chain exactly there), with features of a word's shape, length, marks and the two words
-before it. It is trained in numpy from a small labelled table (labelled_table(), or the caller's own rows) by likelihood,
+The patterns (email, ip, card, phone) give the base spans. The field reads runs of words that hold a digit or an @, or name a
+credential (password, token, key and the like) or stand within two words after such a name; any other
+word is outside, which cuts the chain exactly there. It has features of a word's shape, length, marks and the two words
+before it, all of whole words. It is trained in numpy from a small labelled table (labelled_table(), or the caller's own rows) by likelihood,
 and decoded by Viterbi over batches of runs. What it finds beyond the base spans is added if it touches none of them: numbers in
-other notations, addresses without a dot, and a fifth kind, secret (keys, tokens and passwords).
+other notations, addresses without a dot, and a fifth kind, secret (keys, tokens and passwords; one of letters alone only right after the name of a credential).
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows come out each; extra columns aren't
 read. A text is read whole, and time is linear in its length.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import load, ready
-from .textops import NOSPACE, blocks, char_offsets, utf8, word_spans
+from .textops import LOWER, NOSPACE, blocks, char_offsets, utf8, word_spans
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -78,10 +79,15 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+#: What a credential is called; a word that holds one of these, and the two after it, are read whatever they are made of.
+CREDENTIAL = re.compile(rb"passw|passphrase|pwd|token|secret|credential|apikey|api[_-]key|access[_-]?key|private[_-]?key|akia")
+_NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|pwd|token|secret|credential|key|pass)s?\W{0,4}(?:\s+(?:is|was|=|:))?\s*[\"'`(\[]*$")
+
+
 def shape(word: str) -> str:
     """Runs of digits, small and capital letters as d, a and A with their length (5 for more), other marks as they are."""
     out = []
-    for m in re.finditer(r"[0-9]+|[a-zà-öø-ÿß]+|[A-ZÀ-ÖØ-Þ]+|[^0-9a-zà-öø-ÿßA-ZÀ-ÖØ-Þ]", word[:64]):
+    for m in re.finditer(r"[0-9]+|[a-zà-öø-ÿß]+|[A-ZÀ-ÖØ-Þ]+|[^0-9a-zà-öø-ÿßA-ZÀ-ÖØ-Þ]", word):
         c = m[0][0]
         out.append(("d" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c) + (str(min(len(m[0]), 5)) if c.isalnum() else ""))
     return "".join(out)
@@ -90,14 +96,14 @@ def shape(word: str) -> str:
 def features(word: str, before: str, earlier: str) -> list[int]:
     """Buckets of a word's features; before and earlier are the two words that precede it."""
     s = shape(word)
-    mark = lambda w: re.sub("[0-9]+", "0", w.lower())[:16] if len(w) < 24 else "~"
-    n = sum(c.isdigit() for c in word[:256])
-    letters = sum(c.isalpha() for c in word[:256])
-    lower = word[:256].lower()
+    mark = lambda w: re.sub("[0-9]+", "0", w.lower()) if len(w) < 24 else "~"
+    n = sum(c.isdigit() for c in word)
+    letters = sum(c.isalpha() for c in word)
+    lower = word.lower()
     found = [
-        "bias", f"s={s[:32]}", f"flat={re.sub('[0-9]', '', s)[:24]}", f"head={s[:4]}", f"tail={s[-4:]}", f"n={min(n, 20)}", f"long={min(len(word) // 4, 12)}", f"mixed={n >= 2 and letters >= 2}{len(word) >= 14}",
+        "bias", f"s={s}", f"flat={re.sub('[0-9]', '', s)}", f"head={s[:4]}", f"tail={s[-4:]}", f"n={min(n, 20)}", f"long={min(len(word) // 4, 12)}", f"mixed={n >= 2 and letters >= 2}{len(word) >= 14}",
         f"@{word.count('@')}", f".{min(word.count('.'), 5)}", f"hex={len(word) >= 16 and all(c in '0123456789abcdef\"' for c in lower)}", f"key={next((k for k in ('password', 'passwd', 'pwd', 'token', 'secret', 'api', 'key', 'akia') if k in lower), '')}", f"=:{'=' in word}",
-        f"b={mark(before)}", f"e={mark(earlier)}", f"bs={shape(before)[:12]}", f"be={mark(earlier)}|{mark(before)}",
+        f"b={mark(before)}", f"e={mark(earlier)}", f"bs={shape(before)}", f"be={mark(earlier)}|{mark(before)}",
     ]
     return [zlib.crc32(x.encode()) % BUCKETS for x in found]
 
@@ -113,6 +119,8 @@ def labelled_table(seed: int = 1, n: int = 900) -> list[tuple[str, list[Span]]]:
     key = lambda k, a="0123456789abcdef": "".join(r.choice(a) for _ in range(k))
     mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     both = mixed + mixed.lower()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    code = lambda: "-".join(key(k) for k in (8, 4, 4, 4, 12))
     name = lambda: word() + r.choice(("", ".", "_")) + r.choice((word(), digits(2)))
 
     def card() -> str:
@@ -131,7 +139,11 @@ def labelled_table(seed: int = 1, n: int = 900) -> list[tuple[str, list[Span]]]:
             return k, "", r.choice((c, " ".join(c[i : i + 4] for i in range(0, len(c), 4)), "-".join(c[i : i + 4] for i in range(0, len(c), 4)))), r.choice(("", "."))
         if k == "phone":
             return k, "", r.choice((f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(3)}/{digits(7)}")), r.choice(("", ".", ","))
-        pick = r.randint(0, 4)
+        pick = r.randint(0, 6)
+        if pick == 5:
+            return k, r.choice(("password=", "pwd=", "passphrase=", "password: ", "password is ", "secret: ", "token: ", "Passwort: ")), r.choice((key(r.randint(8, 30), letters), word() + word() + word())).ljust(8, "q"), r.choice(("", ".", ","))
+        if pick == 6:
+            return k, r.choice(("token = \"", "api_key: \"", "secret_key=\"", "access_key = '")), key(r.randint(16, 60), letters), r.choice(('"', "'"))
         if pick == 0:
             return k, "", "AKIA" + key(16, mixed), r.choice(("", ".", ","))
         if pick == 1:
@@ -143,7 +155,7 @@ def labelled_table(seed: int = 1, n: int = 900) -> list[tuple[str, list[Span]]]:
         return k, r.choice(("token: ", "password: ", "api key: ")), key(r.randint(12, 32), both) + digits(1), ""
 
     def plain() -> str:
-        return r.choice((lambda: str(r.randint(1900, 2030)), lambda: f"{r.randint(1, 9)}.", lambda: f"{r.randint(1, 9)}.{r.randint(0, 9)}.", lambda: f"{r.randint(1, 99)}%", lambda: f"20{digits(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(10, 23)}:{r.randint(10, 59)}", lambda: f"${digits(3)}.{digits(2)}", lambda: f"{digits(r.randint(1, 7))}", lambda: f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: f"({digits(2)})", lambda: f"{digits(2)}-{digits(2)}", lambda: f"{word()}{digits(1)}", lambda: f"Version {r.randint(1, 9)}.0.", lambda: f"CC BY-NC {r.randint(1, 4)}.0", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: f"@{word()}", lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"#{digits(4)}", lambda: f"{digits(4)}-{digits(4)}", lambda: f"x={r.randint(1, 99)}", lambda: f"A{digits(1)}B", lambda: f"http://{word()}.com/{digits(4)}?p={digits(2)}"))()
+        return r.choice((lambda: str(r.randint(1900, 2030)), lambda: f"{r.randint(1, 9)}.", lambda: f"{r.randint(1, 9)}.{r.randint(0, 9)}.", lambda: f"{r.randint(1, 99)}%", lambda: f"20{digits(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(10, 23)}:{r.randint(10, 59)}", lambda: f"${digits(3)}.{digits(2)}", lambda: f"{digits(r.randint(1, 7))}", lambda: f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: f"({digits(2)})", lambda: f"{digits(2)}-{digits(2)}", lambda: f"{word()}{digits(1)}", lambda: f"Version {r.randint(1, 9)}.0.", lambda: f"CC BY-NC {r.randint(1, 4)}.0", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: f"@{word()}", lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"#{digits(4)}", lambda: f"{digits(4)}-{digits(4)}", lambda: f"x={r.randint(1, 99)}", lambda: f"A{digits(1)}B", lambda: f"http://{word()}.com/{digits(4)}?p={digits(2)}", code, lambda: f"id {code()}", lambda: r.choice(("sha256:", "digest ", "commit ", "md5 ", "hash ", "")) + key(r.choice((32, 40, 64))), lambda: f"{key(2, letters[26:])}-{digits(4)}-{key(2, letters[26:])}", lambda: f"SKU{digits(6)}", lambda: f"{key(2, letters[26:])}{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}", lambda: f"the {r.choice(('password', 'token', 'key', 'secret'))} {word()} {word()}", lambda: f"{r.choice(('passwords', 'tokens', 'a secret', 'my password'))} {r.choice(('must', 'can', 'should', 'of', 'and', 'for'))} {word()}", lambda: f"password: {r.choice(('required', 'optional', 'none', 'choose one', 'see below', 'hidden'))}", lambda: f"{r.choice(('token', 'secret'))} {r.choice(('economy', 'ring', 'service', 'garden'))}"))()
 
     rows = []
     for _ in range(n):
@@ -213,11 +225,12 @@ def _allowed() -> tuple[np.ndarray, np.ndarray]:
 
 
 def marked(text: str) -> list[list[tuple[int, int, str, str]]]:
-    """Runs of words with a digit or an @: (start, end, the word before, the one before that)."""
+    """Runs of words that the field reads: (start, end, the word before, the one before that)."""
     runs, last = [], ["", ""]
-    open_ = False
+    open_, named = False, 0
     for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
-        if re.search("[0-9@]", m[0]):
+        named = 3 if CREDENTIAL.search(LOWER[np.frombuffer(m[0].encode(), np.uint8)].tobytes()) else named - 1
+        if named > 0 or re.search("[0-9@]", m[0]):
             if not open_:
                 runs.append([])
             runs[-1].append((m.start(), m.end(), last[1], last[0]))
@@ -282,16 +295,23 @@ def default_field() -> Field:
 _TRIM = "\"'`.,;:!?<>[]{}"
 
 
-def plausible(kind: str, text: str) -> bool:
-    """What the field adds must at least look like its kind."""
-    d = len(_digits(text[:512]))
+def plausible(kind: str, text: str, before: str = "") -> bool:
+    """What the field adds must at least look like its kind; before: what stands before it on its line."""
+    d = len(_digits(text))
     if kind == "secret":
-        return len(text) >= 10 and d >= 2 and sum(c.isalpha() for c in text[:512]) >= 2 and not re.search(r"[\s@/]", text)
+        if re.search(r"[\s@/]", text):
+            return False
+        letters = sum(c.isalpha() for c in text)
+        return len(text) >= 10 and d >= 2 and letters >= 2 or len(text) >= 8 and letters >= 6 and _NAMED.search(before) is not None
     if kind == "email":
         return re.fullmatch(r"[^@]+@[^@]+", text) is not None
     return {"ip": 4 <= d <= 20 and text.count(".") == 3, "card": 13 <= d <= 19 and luhn(_digits(text)), "phone": 9 <= d <= 15 and re.fullmatch(r"[+0-9()./\x20-]+", text) is not None}[kind]
 
 
+#: A name and its mark at the beginning of a word.
+_HEAD = re.compile(r"[\"']?[A-Za-z_-]{2,20}[=:]+")
+
+
 def added_spans(text: str, words: list[tuple[int, int]], labels: list[str], base: list[Span]) -> list[Span]:
     """Spans of the field beside the base ones. words and labels of one run."""
     out, k = [], 0
@@ -303,13 +323,13 @@ def added_spans(text: str, words: list[tuple[int, int]], labels: list[str], base
         while z < len(words) and labels[z] == f"I-{kind}":
             z += 1
         s, e = words[k][0], words[z - 1][1]
-        if kind == "secret" and (m := re.match(r"[\"']?[A-Za-z_-]{2,20}[=:]+", text[s : min(e, s + 64)])):
-            s += m.end()
+        if kind == "secret" and (m := _HEAD.match(text, s, e)):
+            s = m.end()
         while s < e and text[s] in _TRIM:
             s += 1
         while s < e and text[e - 1] in _TRIM:
             e -= 1
-        if s < e and plausible(kind, text[s:e]) and not any(s < b and a < e for _, a, b in base):
+        if s < e and plausible(kind, text[s:e], text[max(0, s - 48) : s].rpartition("\n")[2]) and not any(s < b and a < e for _, a, b in base):
             out.append((kind, s, e))
         k = z
     return out
@@ -324,15 +344,24 @@ def find(data: np.ndarray, off: np.ndarray, field: Field) -> dict[int, tuple[lis
     out = {}
     for i, j in blocks(off):
         b, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        # a digit or an @: without one there is neither a base span nor a run
+        # without a digit, an @ or the name of a credential there is neither a base span nor a run
         sign = ((b >= 48) & (b <= 57)) | (b == 64)
         sums = np.concatenate([[0], np.cumsum(sign)])
-        docs = np.flatnonzero(sums[o[1:]] > sums[o[:-1]])
+        named = np.array([m.start() for m in CREDENTIAL.finditer(LOWER[b].tobytes())], np.int64)
+        some = sums[o[1:]] > sums[o[:-1]]
+        some[np.searchsorted(o, named, side="right") - 1] = True
+        docs = np.flatnonzero(some)
         if not len(docs):
             continue
         s, e, first = word_spans(b, o, NOSPACE)
         chars = char_offsets(b)
         hit = sums[e] > sums[s]
+        # words that name a credential and the two after them, within a document
+        w = np.searchsorted(s, named, side="right") - 1
+        w = w[e[w] > named]
+        stop = first[np.searchsorted(first, w, side="right")]
+        for k in range(3):
+            hit[(w + k)[w + k < stop]] = True
         buf = b.tobytes()
         feats, words, starts, owner = [], [], [], []
         for d in docs:
