@@ -7,7 +7,7 @@ Training counts every (depth + 1)-gram of bytes of all training texts; shorter c
 candidate if it occurs at least `least` times, an absolute count, so the tree grows with the corpus. A candidate is retained
 if it, or one that ends in it, passes the divergence test: its count times the Kullback-Leibler divergence of its next-byte
 distribution from that of the context one byte shorter is at least `evidence` nats. (`p_min` and `gain` give the two bounds
-as shares of all training bytes instead.) Distributions are smoothed into that of the shorter context (Witten-Bell weights),
+as shares of all training bytes instead.) Distributions are smoothed into that of the shorter context (Witten-Bell weights, times PRIOR),
 at the root into the uniform one, so no text has probability zero. A byte is scored by the state of the longest retained
 suffix of what precedes it (line feeds stand before the first byte).
 
@@ -38,11 +38,13 @@ from pyspark.sql import functions as F
 from .runtime import load, ready, table
 from .textops import LOWER, NOSPACE, blocks, run_sums, span_hashes, utf8, word_spans
 
-DEPTH = 5
+DEPTH = 7
 #: Occurrences of a candidate: what stands once in the corpus tells nothing that recurs.
 LEAST = 2
 #: Nats that the divergence test asks for.
-EVIDENCE = 4.0
+EVIDENCE = 8.0
+#: Weight of the shorter context for each kind of byte met after a context (1 is the plain Witten-Bell weight). Texts copy each other, so what few occurrences say counts for less.
+PRIOR = 8.0
 SHARDS = 256
 #: Bytes of states in one broadcast block, and blocks of text that a task scores against each when there are several.
 BLOCK_BYTES = 1 << 26
@@ -132,6 +134,11 @@ def gather(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def _low(code: np.ndarray, n: int) -> np.ndarray:
+    """The last n bytes of codes."""
+    return code & np.uint64((1 << 8 * n) - 1)
+
+
 def _sums(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes, sorted, with the sums of their counts."""
     order = np.argsort(code, kind="stable")
@@ -146,10 +153,11 @@ Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 def grow(code: np.ndarray, count: np.ndarray, first: np.ndarray, depth: int, least: float, evidence: float) -> dict[int, Level]:
     """The retained states of 2 to depth bytes among grams (codes of depth earlier bytes and the next one) of some two last bytes. first[x, c]: probability of c after x."""
+    code = code.view(np.uint64)
     grams, probs, contexts, backs, owners, parents, keep = {}, {}, {}, {}, {}, {}, {}
     for d in range(2, depth + 1):
-        g, n = _sums(code & ((1 << 8 * (d + 1)) - 1), count)
-        ctx, at = np.unique(g >> 8, return_inverse=True)
+        g, n = _sums(_low(code, d + 1), count)
+        ctx, at = np.unique(g >> np.uint64(8), return_inverse=True)
         total = np.bincount(at, n, len(ctx))
         kinds = np.bincount(at, minlength=len(ctx))
         ok = total >= least
@@ -157,13 +165,13 @@ def grow(code: np.ndarray, count: np.ndarray, first: np.ndarray, depth: int, lea
         g, n, at = g[on], n[on], (np.cumsum(ok) - 1)[at[on]]
         ctx, total, kinds = ctx[ok], total[ok], kinds[ok]
         # a candidate's suffixes occur as often at least, and each of its grams without the earliest byte was met
-        short = g & ((1 << 8 * d) - 1)
-        up = first[short >> 8, short & 255] if d == 2 else probs[d - 1][np.searchsorted(grams[d - 1], short)]
-        p = (n + kinds[at] * up) / (total + kinds)[at]
+        short = _low(g, d)
+        up = first[(short >> np.uint64(8)).astype(np.int64), _low(short, 1).astype(np.int64)] if d == 2 else probs[d - 1][np.searchsorted(grams[d - 1], short)]
+        p = (n + PRIOR * kinds[at] * up) / (total + PRIOR * kinds)[at]
         keep[d] = np.bincount(at, n * np.log(n / total[at] / up), len(ctx)) >= evidence
         if d > 2:
-            parents[d] = np.searchsorted(contexts[d - 1], ctx & ((1 << 8 * (d - 1)) - 1))
-        grams[d], probs[d], contexts[d], owners[d], backs[d] = g, p, ctx, at, np.log10(kinds / (total + kinds))
+            parents[d] = np.searchsorted(contexts[d - 1], _low(ctx, d - 1))
+        grams[d], probs[d], contexts[d], owners[d], backs[d] = g, p, ctx, at, np.log10(PRIOR * kinds / (total + PRIOR * kinds))
     # a state that a retained one ends in stays
     for d in range(depth, 2, -1):
         keep[d - 1][parents[d][keep[d]]] = True
@@ -185,13 +193,13 @@ def _merged(parts: list[dict[int, Level]], depth: int) -> dict[int, Level]:
 
 def refine(block: dict[int, Level], code: np.ndarray, value: np.ndarray) -> None:
     """value: log10 probability of sorted grams by contexts of up to one byte; where the block has longer ones, theirs."""
-    on = np.arange(len(code))
+    on, code = np.arange(len(code)), code.view(np.uint64)
     for d, (ctx, back, grams, p) in block.items():
         if not len(ctx) or not len(on):
             return
-        own = code[on] & ((1 << 8 * (d + 1)) - 1)
-        at = np.minimum(np.searchsorted(ctx, own >> 8), len(ctx) - 1)
-        ok = ctx[at] == own >> 8
+        own = _low(code[on], d + 1)
+        at = np.minimum(np.searchsorted(ctx, own >> np.uint64(8)), len(ctx) - 1)
+        ok = ctx[at] == own >> np.uint64(8)
         on, own, at = on[ok], own[ok], at[ok]
         k = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
         value[on] = np.where(grams[k] == own, p[k], value[on] + back[at])
@@ -223,7 +231,7 @@ class Tree:
         for k, (d, ctx) in enumerate(self.child):
             out[k] = self.root[bytes_] if d == 0 else self.head[ctx & 255][bytes_]
             for b in self.blocks:
-                refine({e: x for e, x in b.value.items() if e <= d}, (ctx << 8) + bytes_, out[k])
+                refine({e: x for e, x in b.value.items() if e <= d}, (np.uint64(ctx) << np.uint64(8)) + bytes_.astype(np.uint64), out[k])
         return out
 
 
@@ -250,7 +258,7 @@ def states(grams: DataFrame, first: np.ndarray, depth: int, least: float, eviden
 
 
 def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, p_min: float | None = None, gain: float | None = None, p_word: float = P_WORD, least: float = LEAST, evidence: float = EVIDENCE, block_bytes: int = BLOCK_BYTES) -> tuple[Model, DataFrame]:
-    """The model, and the counts (key, n) of all training tokens. p_min and gain, where given, stand for least and evidence as shares of all training bytes. depth: 2 to 6."""
+    """The model, and the counts (key, n) of all training tokens. p_min and gain, where given, stand for least and evidence as shares of all training bytes. depth: 2 to 7, so that a context and the next byte are one 64-bit number."""
     spark = ready(docs.sparkSession)
     counts = table(gather(docs, text_col, depth), "counts")
     n, v = counts.where("kind = 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
@@ -264,7 +272,7 @@ def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, p_min: fl
     kinds = max(1, int((count > 0).sum()))
     root = (count + kinds / 256) / (total + kinds)
     m, k = two.sum(1, keepdims=True), (two > 0).sum(1, keepdims=True)
-    first = np.where(m > 0, (two + k * root) / np.maximum(m + k, 1), root)
+    first = np.where(m > 0, (two + PRIOR * k * root) / np.maximum(m + PRIOR * k, 1), root)
     with np.errstate(divide="ignore", invalid="ignore"):
         worth = np.where(two > 0, two * np.log(two / m / root), 0).sum(1)
     ones = (m[:, 0] > 0) & (m[:, 0] >= least) & (worth >= evidence)
@@ -274,7 +282,7 @@ def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, p_min: fl
             blocks.append(spark.sparkContext.broadcast(_merged(held, depth)))
             held, size = [], 0
         held.append(pickle.loads(row[1]))
-        ones[held[-1][2][0] & 255] = True
+        ones[_low(held[-1][2][0], 1).astype(np.int64)] = True
         size += row[0]
     if held:
         blocks.append(spark.sparkContext.broadcast(_merged(held, depth)))

@@ -39,7 +39,7 @@ class Brute:
         m = sum(n.values())
         if not ctx:
             return (n[byte] + self.kinds / 256) / (m + self.kinds)
-        return (n[byte] + len(n) * self.p(ctx[1:], byte)) / (m + len(n))
+        return (n[byte] + L.PRIOR * len(n) * self.p(ctx[1:], byte)) / max(m + L.PRIOR * len(n), 1e-9) if m else self.p(ctx[1:], byte)
 
     def score(self, t):
         b, out = byte_form(t, self.depth), 0.0
@@ -87,7 +87,7 @@ def test_what_recurs_a_few_times_is_learned_however_large_the_corpus(spark, bloc
     model, counts = L.train(docs(spark, rows), block_bytes=block_bytes)
     assert (len(model.tree.blocks) > 1) == (block_bytes == 1)
     assert (2, int.from_bytes(b"aq")) in model.tree.child
-    want = Brute([t for _, t in rows], 5, L.LEAST / sum(len(byte_form(t, 0)) for _, t in rows), L.EVIDENCE)
+    want = Brute([t for _, t in rows], L.DEPTH, L.LEAST / sum(len(byte_form(t, 0)) for _, t in rows), L.EVIDENCE)
     want.kept = {c.to_bytes(d) for d, c in model.tree.child}
     got = L.score(docs(spark, [(1, rare), (2, "ab aab qzxq zz")]), model, counts).orderBy("doc_id").collect()
     assert all(math.isclose(g.score, want.score(t), rel_tol=1e-4) for g, t in zip(got, (rare, "ab aab qzxq zz"), strict=True))
@@ -112,6 +112,34 @@ def test_learning_helps(spark):
     assert alike > noise
 
 
+def sentences(r, n):
+    """Text of a small grammar, so that longer contexts tell more."""
+    names, verbs, ends = ("the harbour", "a lantern", "our neighbour", "the orchard", "every traveller"), ("watches over", "remembers", "belongs to", "walks towards"), ("the quiet river", "an old mountain", "the northern road", "a distant island")
+    return ". ".join(" ".join((r.choice(names), r.choice(verbs), r.choice(ends))) for _ in range(n))
+
+
+def test_each_depth_helps_on_held_out_text(spark):
+    r = random.Random(6)
+    train = docs(spark, [(k, sentences(r, 30)) for k in range(40)])
+    other = docs(spark, [(k, sentences(r, 30)) for k in range(10)])
+    total = []
+    for depth in (2, 3, 4, 5, 6, 7):
+        m, c = L.train(train, depth=depth)
+        total.append(sum(x.score for x in L.score(other, m, c).collect()))
+    assert all(b >= a for a, b in zip(total, total[1:], strict=False)) and total[4] > total[3] > total[2], total
+    m, c = L.train(train, least=1e12)
+    assert total[-1] > 0.35 * sum(x.score for x in L.score(other, m, c).collect())  # the tree of the root alone
+
+
+def test_bytes_of_every_kind(spark):
+    """Contexts and grams whose first byte sets the sign of their number."""
+    rows = [(k, "日本語 ÿþ 語語 日本 ☃☃☃ ☃☃ \U0001f600\U0001f600 " * 3) for k in range(5)]
+    m, c = L.train(docs(spark, rows), evidence=0.0)
+    want = Brute([t for _, t in rows], L.DEPTH, L.LEAST / sum(len(byte_form(t, 0)) for _, t in rows), 0)
+    got = L.score(docs(spark, [(1, rows[0][1]), (2, "☃ 日 ÿ")]), m, c).orderBy("doc_id").collect()
+    assert all(math.isclose(g.score, want.score(t), rel_tol=1e-4) for g, t in zip(got, (rows[0][1], "☃ 日 ÿ"), strict=True))
+
+
 def test_no_training_text(spark):
     m, c = L.train(docs(spark, []))
     got = L.score(docs(spark, [(1, "ab"), (2, None)]), m, c).orderBy("doc_id").collect()
