@@ -11,8 +11,9 @@ as shares of all training bytes instead.) Distributions are smoothed into that o
 at the root into the uniform one, so no text has probability zero. A byte is scored by the state of the longest retained
 suffix of what precedes it (line feeds stand before the first byte).
 
+Grams are counted in numpy and travel as pressed arrays, a row for each task and shard, so no engine row stands for a gram.
 Contexts are dealt by their last two bytes, which all suffixes of two bytes or more share, so each shard of the tree is grown
-by a task from its own grams; only contexts of up to one byte are the driver's. States are sparse: the log probability of
+by a task from its own grams, of which corpora too large for that are summed in pieces before; only contexts of up to one byte are the driver's. States are sparse: the log probability of
 each byte met after a context, and the log weight of what the shorter context gives for others. The shards stand in a table
 and go to the executors as broadcast blocks of at most `block_bytes` (or one larger shard), of which the driver and a task
 hold one at a time.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import load, ready, table
-from .textops import LOWER, NOSPACE, blocks, run_sums, span_hashes, utf8, word_spans
+from .textops import LOWER, NOSPACE, blocks, mix, run_sums, span_hashes, utf8, word_spans
 
 DEPTH = 7
 #: Occurrences of a candidate: what stands once in the corpus tells nothing that recurs.
@@ -46,6 +47,8 @@ EVIDENCE = 8.0
 #: Weight of the shorter context for each kind of byte met after a context (1 is the plain Witten-Bell weight). Texts copy each other, so what few occurrences say counts for less.
 PRIOR = 8.0
 SHARDS = 256
+#: Partial sums of grams that a task takes at once; of more, a shard's are first summed in pieces.
+SHARD_GRAMS = 1 << 24
 #: Bytes of states in one broadcast block, and blocks of text that a task scores against each when there are several.
 BLOCK_BYTES = 1 << 26
 TEXTS = 8
@@ -54,7 +57,7 @@ END = 10
 #: The end token's key among word hashes (zero is given to no word).
 END_KEY = 0
 #: Grams and words that a task holds before it passes their counts on.
-HELD = 1 << 23
+HELD = 1 << 22
 
 
 def _keys(h: np.ndarray) -> np.ndarray:
@@ -98,13 +101,47 @@ def _scored(begin: np.ndarray, depth: int) -> np.ndarray:
     return ok
 
 
+#: Shard of each two last bytes of a context.
+_SHARD = (mix(np.arange(1 << 16, dtype=np.uint64)) & np.uint64(SHARDS - 1)).astype(np.uint8)
+
+
+def pressed(code: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted codes and their counts, byte plane by byte plane: the planes that hardly change take next to nothing."""
+    planes = np.concatenate([code.view(np.uint8).reshape(-1, 8).T, count.astype(np.uint64).view(np.uint8).reshape(-1, 8).T])
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpressed(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(blob, 16 * n, codec="zstd", asbytes=True), np.uint8).reshape(16, n)
+    code, count = (np.ascontiguousarray(planes[k : k + 8].T).view("<u8").ravel() for k in (0, 8))
+    return code, count.astype(np.int64)
+
+
+def _dealt(code: np.ndarray, count: np.ndarray, group: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    """A row of pressed grams for each group (a byte)."""
+    order = np.argsort(group, kind="stable")
+    code, count, group = code[order], count[order], group[order]
+    cut = np.flatnonzero(np.diff(group, prepend=-1, append=-1).astype(bool)) if len(group) else np.zeros(1, np.int64)
+    parts = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    for i in range(0, len(parts), 64):
+        some = parts[i : i + 64]
+        cols = [[kind] * len(some), [int(group[a]) for a, _ in some], [z - a for a, z in some], [pressed(code[a:z], count[a:z]) for a, z in some]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int8(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "key", "n", "grams"])
+
+
 def gather(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
-    """(kind, key, n) of training texts: kind 0 token counts by hash (0: the end), kind 1 counts of byte grams, partial sums."""
+    """(kind, key, n, grams) of training texts, partial sums: kind 0 token counts by hash (0: the end), kind 2 counts of byte pairs, kind 1 pressed counts of n distinct byte grams of shard key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        pairs = np.zeros(1 << 16, np.int64)
         n, ends = 0, 0
 
+        def counted(kind: int, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(key), 1 << 17):
+                k = key[i : i + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(count[i : i + (1 << 17)]), pa.nulls(len(k), pa.binary())], names=["kind", "key", "n", "grams"])
+
         def flush() -> Iterator[pa.RecordBatch]:
             for kind, parts in held.items():
                 if parts:
@@ -112,10 +149,12 @@ def gather(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
                     parts.clear()
                     x.sort()
                     cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-                    count = np.diff(np.append(cut, len(x)))
-                    for i in range(0, len(cut), 1 << 17):
-                        k = x[cut[i : i + (1 << 17)]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(count[i : i + (1 << 17)])], names=["kind", "key", "n"])
+                    count, x = np.diff(np.append(cut, len(x))), x[cut]
+                    if kind == 0:
+                        yield from counted(0, x, count)
+                    else:
+                        np.add.at(pairs, _low(x, 2).astype(np.int64), count)
+                        yield from _dealt(x, count, _SHARD[(_low(x, 3) >> np.uint64(8)).astype(np.int64)], 1)
 
         for batch in batches:
             data, off = utf8(batch.column(0))
@@ -123,15 +162,34 @@ def gather(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
                 b = LOWER[data[off[i] : off[j]]]
                 text, begin, s, e, *_ = padded(b, off[i : j + 1] - off[i], depth)
                 held[0].append(_keys(span_hashes(b, s, e)))
-                held[1].append(_codes(text, depth + 1)[_scored(begin, depth)].view(np.int64))
+                held[1].append(_codes(text, depth + 1)[_scored(begin, depth)])
                 ends, n = ends + j - i, n + len(text)
                 if n >= HELD:
                     yield from flush()
                     n = 0
         yield from flush()
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([END_KEY]), pa.array([ends])], names=["kind", "key", "n"])
+        met = np.flatnonzero(pairs)
+        yield from counted(2, met, pairs[met])
+        yield from counted(0, np.array([END_KEY]), np.array([ends]))
+
+    return docs.select(text_col).mapInArrow(run, "kind byte, key long, n long, grams binary")
+
+
+def merged(grams: DataFrame, pieces: int) -> DataFrame:
+    """Pressed grams (key: the shard, n, grams) summed piece by piece, each of some of a shard's grams: for corpora of which a shard's partial sums are too many for a task."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                code, count = unpressed(blob.as_buffer(), n)
+                for part in _dealt(code, count, (mix(code) % np.uint64(pieces)).astype(np.int64), 1):
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * part.num_rows, pa.int64()), *part.columns[1:]], names=["key", "piece", "n", "grams"])
+
+    def add(part: pa.Table) -> pa.Table:
+        code, count = _sums(*(np.concatenate(x) for x in zip(*(unpressed(blob.as_buffer(), n) for n, blob in zip(part["n"].to_pylist(), part["grams"], strict=True)), strict=True)))
+        return pa.table({"key": part["key"][:1], "n": pa.array([len(code)], pa.int64()), "grams": pa.array([pressed(code, count)], pa.binary())})
 
-    return docs.select(text_col).mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return grams.mapInArrow(split, "key long, piece long, n long, grams binary").groupBy("key", "piece").applyInArrow(add, "key long, n long, grams binary")
 
 
 def _low(code: np.ndarray, n: int) -> np.ndarray:
@@ -153,7 +211,6 @@ Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 def grow(code: np.ndarray, count: np.ndarray, first: np.ndarray, depth: int, least: float, evidence: float) -> dict[int, Level]:
     """The retained states of 2 to depth bytes among grams (codes of depth earlier bytes and the next one) of some two last bytes. first[x, c]: probability of c after x."""
-    code = code.view(np.uint64)
     grams, probs, contexts, backs, owners, parents, keep = {}, {}, {}, {}, {}, {}, {}
     for d in range(2, depth + 1):
         g, n = _sums(_low(code, d + 1), count)
@@ -245,27 +302,31 @@ class Model:
 
 
 def states(grams: DataFrame, first: np.ndarray, depth: int, least: float, evidence: float) -> DataFrame:
-    """(size, states): the retained states of each shard of grams (key, n), pickled, and their bytes."""
+    """(size, states): the retained states of each shard of pressed grams (key, n, grams), pickled, and their bytes."""
     sent = grams.sparkSession.sparkContext.broadcast(first)
 
     def run(part: pa.Table) -> pa.Table:
-        found = grow(part["key"].to_numpy(), part["n"].to_numpy(), sent.value, depth, least, evidence)
+        code, count = (np.concatenate(x) for x in zip(*(unpressed(blob.as_buffer(), n) for n, blob in zip(part["n"].to_pylist(), part["grams"], strict=True)), strict=True))
+        found = grow(*_sums(code, count), sent.value, depth, least, evidence)
         size = sum(x.nbytes for level in found.values() for x in level)
         return pa.table({"size": pa.array([size], pa.int64()), "states": pa.array([pickle.dumps(found)], pa.binary())})
 
-    dealt = grams.select(F.pmod(F.hash(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(SHARDS)).alias("shard"), "key", "n")
-    return dealt.groupBy("shard").applyInArrow(run, "size long, states binary")
+    return grams.groupBy("key").applyInArrow(run, "size long, states binary")
 
 
-def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, p_min: float | None = None, gain: float | None = None, p_word: float = P_WORD, least: float = LEAST, evidence: float = EVIDENCE, block_bytes: int = BLOCK_BYTES) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, p_min: float | None = None, gain: float | None = None, p_word: float = P_WORD, least: float = LEAST, evidence: float = EVIDENCE, block_bytes: int = BLOCK_BYTES, shard_grams: int = SHARD_GRAMS) -> tuple[Model, DataFrame]:
     """The model, and the counts (key, n) of all training tokens. p_min and gain, where given, stand for least and evidence as shares of all training bytes. depth: 2 to 7, so that a context and the next byte are one 64-bit number."""
     spark = ready(docs.sparkSession)
-    counts = table(gather(docs, text_col, depth), "counts")
-    n, v = counts.where("kind = 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    g = counts.where("kind = 1").select("key", "n")
-    pairs = g.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    raw = table(gather(docs, text_col, depth), "gathered")
+    counts = table(raw.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
+    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
+    pairs = raw.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most 65536
     two = np.zeros((256, 256))
     two[pairs["key"].to_numpy(np.int64) >> 8, pairs["key"].to_numpy(np.int64) & 255] = pairs["n"].to_numpy(np.int64)
+    g = raw.where("kind = 1").select("key", "n", "grams")
+    most = g.groupBy("key").agg(F.sum("n").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if most > shard_grams:
+        g = merged(g, min(1 << 20, -(-most // shard_grams)))
     total, count = two.sum(), two.sum(0)
     least = least if p_min is None else p_min * total
     evidence = evidence if gain is None else gain * total
@@ -286,9 +347,9 @@ def train(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, p_min: fl
         size += row[0]
     if held:
         blocks.append(spark.sparkContext.broadcast(_merged(held, depth)))
-    hot = counts.where((F.col("kind") == 0) & (F.col("n") > 0) & ((F.col("n") >= F.lit(p_word) * F.lit(n)) | (F.col("key") == END_KEY))).select("key", "n").toPandas().sort_values("key")
+    hot = counts.where((F.col("n") >= F.lit(p_word) * F.lit(n)) | (F.col("key") == END_KEY)).toPandas().sort_values("key")
     tree = Tree(np.log10(np.where(ones[:, None], first, root)), np.log10(root), ones, count > 0, blocks, depth)
-    return Model(tree, hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64), int(n), int(v)), counts.where("kind = 0 AND n > 0").select("key", "n")
+    return Model(tree, hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64), int(n), int(v)), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

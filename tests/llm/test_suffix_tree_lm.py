@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from rasterloom.llm import suffix_tree_lm as L
@@ -131,6 +132,22 @@ def test_each_depth_helps_on_held_out_text(spark):
     assert total[-1] > 0.35 * sum(x.score for x in L.score(other, m, c).collect())  # the tree of the root alone
 
 
+def test_grams_summed_in_pieces_give_the_same_tree(spark):
+    r = random.Random(3)
+    d = docs(spark, [(k, invented(r, 60, 40)) for k in range(20)]).repartition(3)
+    a, b = (L.train(d, shard_grams=n)[0].tree for n in (1 << 24, 40))
+    assert sorted(a.child) == sorted(b.child) and len(a.child) > 50
+    got = [[x.score for x in L.score(d, *L.train(d, shard_grams=n)).orderBy("doc_id").collect()] for n in (1 << 24, 40)]
+    assert all(math.isclose(x, y, rel_tol=1e-6) for x, y in zip(*got, strict=True))
+
+
+def test_pressed_grams_come_back():
+    r = np.random.default_rng(1)
+    code, count = np.sort(r.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)), r.integers(1, 1 << 40, 1000)
+    a, b = L.unpressed(L.pressed(code, count), 1000)
+    assert np.array_equal(a, code) and np.array_equal(b, count)
+
+
 def test_bytes_of_every_kind(spark):
     """Contexts and grams whose first byte sets the sign of their number."""
     rows = [(k, "日本語 ÿþ 語語 日本 ☃☃☃ ☃☃ \U0001f600\U0001f600 " * 3) for k in range(5)]
