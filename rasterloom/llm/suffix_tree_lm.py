@@ -39,19 +39,19 @@ from pyspark.sql import functions as F
 from .runtime import load, ready, table
 from .textops import LOWER, NOSPACE, blocks, mix, run_sums, span_hashes, utf8, word_spans
 
-DEPTH = 7
+DEPTH = 6
 #: Occurrences of a candidate: what stands once in the corpus tells nothing that recurs.
 LEAST = 2
 #: Nats that the divergence test asks for.
-EVIDENCE = 8.0
+EVIDENCE = 16.0
 #: Weight of the shorter context for each kind of byte met after a context (1 is the plain Witten-Bell weight). Texts copy each other, so what few occurrences say counts for less.
 PRIOR = 8.0
 SHARDS = 256
 #: Partial sums of grams that a task takes at once; of more, a shard's are first summed in pieces.
 SHARD_GRAMS = 1 << 24
 #: Bytes of states in one broadcast block, and blocks of text that a task scores against each when there are several.
-BLOCK_BYTES = 1 << 26
-TEXTS = 8
+BLOCK_BYTES = 3 << 25
+TEXTS = 4
 P_WORD = 5e-7
 END = 10
 #: The end token's key among word hashes (zero is given to no word).
@@ -249,17 +249,34 @@ def _merged(parts: list[dict[int, Level]], depth: int) -> dict[int, Level]:
 
 
 def refine(block: dict[int, Level], code: np.ndarray, value: np.ndarray) -> None:
-    """value: log10 probability of sorted grams by contexts of up to one byte; where the block has longer ones, theirs."""
-    on, code = np.arange(len(code)), code.view(np.uint64)
-    for d, (ctx, back, grams, p) in block.items():
+    """value: log10 probability of grams by contexts of up to one byte; where the block has longer ones, theirs. First down to the longest state of each gram, then back until one has met its byte."""
+    code = code.view(np.uint64)
+    on, found = np.arange(len(code), dtype=np.int32), []
+    for d, (ctx, *_) in block.items():
         if not len(ctx) or not len(on):
-            return
-        own = _low(code[on], d + 1)
-        at = np.minimum(np.searchsorted(ctx, own >> np.uint64(8)), len(ctx) - 1)
-        ok = ctx[at] == own >> np.uint64(8)
-        on, own, at = on[ok], own[ok], at[ok]
+            break
+        own = _low(code[on], d + 1) >> np.uint64(8)
+        at = np.minimum(np.searchsorted(ctx, own), len(ctx) - 1)
+        ok = ctx[at] == own
+        on, at = on[ok], at[ok].astype(np.int32)
+        found.append((d, on, at))
+    weight = np.zeros(len(code) if found else 0, np.float32)
+    open_ = np.zeros(len(weight), bool)  # whose probability is still looked for
+    deeper = np.zeros(0, np.int32)
+    for d, on, at in reversed(found):
+        _, back, grams, p = block[d]
+        new = np.ones(len(on), bool)
+        new[np.searchsorted(on, deeper)] = False
+        open_[on[new]] = True
+        deeper, mine = on, open_[on]
+        here, at = on[mine], at[mine]
+        own = _low(code[here], d + 1)
         k = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-        value[on] = np.where(grams[k] == own, p[k], value[on] + back[at])
+        met = grams[k] == own
+        value[here[met]] = weight[here[met]] + p[k[met]]
+        open_[here[met]] = False
+        weight[here[~met]] += back[at[~met]]
+    value[open_.nonzero()[0]] += weight[open_]
 
 
 @dataclass
