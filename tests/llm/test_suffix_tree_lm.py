@@ -135,9 +135,9 @@ def test_each_depth_helps_on_held_out_text(spark):
 def test_grams_summed_in_pieces_give_the_same_tree(spark):
     r = random.Random(3)
     d = docs(spark, [(k, invented(r, 60, 40)) for k in range(20)]).repartition(3)
-    a, b = (L.train(d, shard_grams=n)[0].tree for n in (1 << 24, 40))
+    a, b = (L.train(d, shard_grams=n, evidence=2.0)[0].tree for n in (1 << 24, 40))
     assert sorted(a.child) == sorted(b.child) and len(a.child) > 50
-    got = [[x.score for x in L.score(d, *L.train(d, shard_grams=n)).orderBy("doc_id").collect()] for n in (1 << 24, 40)]
+    got = [[x.score for x in L.score(d, *L.train(d, shard_grams=n, evidence=2.0)).orderBy("doc_id").collect()] for n in (1 << 24, 40)]
     assert all(math.isclose(x, y, rel_tol=1e-6) for x, y in zip(*got, strict=True))
 
 
