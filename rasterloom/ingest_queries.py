@@ -232,7 +232,7 @@ def aligned_area_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def _kernel_sql(reach: float, x: str, y: str) -> str:
     """A coarse cell has its centre in the middle of its third fine column; rows are alike, so a kernel has its own width there."""
-    return f"WITH {_FINE} SELECT a.yi, CAST((a.xi - 2) // 5 AS INTEGER) AS xi, round(sum(b.v * {x} * {y}) / sum({x} * {y}), 8) AS value FROM fine a JOIN fine b ON abs(b.yi - a.yi) <= 1 AND abs(b.xi - a.xi) <= {reach} WHERE a.xi % 5 = 2 GROUP BY a.yi, a.xi"
+    return f"WITH {_FINE} SELECT a.yi, CAST((a.xi - 2) // 5 AS INTEGER) AS xi, round(sum(b.v * {x} * {y}) / sum({x} * {y}), 5) AS value FROM fine a JOIN fine b ON abs(b.yi - a.yi) <= 1 AND abs(b.xi - a.xi) <= {reach} WHERE a.xi % 5 = 2 GROUP BY a.yi, a.xi"
 
 
 def _spline_sql(t: str) -> str:
@@ -241,15 +241,15 @@ def _spline_sql(t: str) -> str:
 
 _TX, _TY = "((b.xi - a.xi) / 5.0)", "CAST(b.yi - a.yi AS DOUBLE)"
 _sinc = lambda t: f"(CASE WHEN {t} = 0 THEN 1 ELSE sin(pi() * {t}) / (pi() * {t}) END)"
-query(_kernel_sql(9, _spline_sql(_TX), _spline_sql(_TY)))(_resampled("cubic_spline"))
-query(_kernel_sql(14, f"({_sinc(_TX)} * {_sinc(f'({_TX} / 3)')})", "(CASE WHEN b.yi = a.yi THEN 1 ELSE 0 END)"))(_resampled("lanczos"))
-query(_kernel_sql(7, f"exp(-2 * pow({_TX}, 2))", f"exp(-2 * pow({_TY}, 2))"))(_resampled("gauss"))
+query(_kernel_sql(9, _spline_sql(_TX), _spline_sql(_TY)))(_resampled("cubic_spline", to=5))
+query(_kernel_sql(14, f"({_sinc(_TX)} * {_sinc(f'({_TX} / 3)')})", "(CASE WHEN b.yi = a.yi THEN 1 ELSE 0 END)"))(_resampled("lanczos", to=5))
+query(_kernel_sql(7, f"exp(-2 * pow({_TX}, 2))", f"exp(-2 * pow({_TY}, 2))"))(_resampled("gauss", to=5))
 
 
 # --- polygons -----------------------------------------------------------------------------------------------------------
 
 #: A right triangle under a rising edge, with a box as hole: corners as shares of the grid's height H; none falls on a cell's bound or centre.
-_XA, _XB, _YA, _YB = -59.9037, -59.1013, 0.1013, 0.9037
+_XA, _XB, _YA, _YB = -59.9037, -59.1013, 0.10131, 0.90437
 _HX1, _HX2, _HY1, _HY2 = -59.4021, -59.2017, 0.7019, 0.8011
 
 

@@ -276,10 +276,10 @@ def align_nearest(spark: SparkSession, d: str) -> DataFrame:
 _OVER = f"WITH {_FINE}, o AS (SELECT yi, xi // 5 AS xi, value, v FROM fine)"
 
 
-def _resampled(method: str, what: str = "value") -> Callable:
+def _resampled(method: str, what: str = "value", to: int = 8) -> Callable:
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = resample(fine(spark, d, what), coarse(spark, d).grid, method).pixels
-        return out if what == "class" else _round(out, "value", to=8)
+        return out if what == "class" else _round(out, "value", to=to)
 
     run.__name__ = f"resample_{method}"
     return run
