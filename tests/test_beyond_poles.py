@@ -28,7 +28,7 @@ def test_latitudes_are_held_on_the_globe_alone():
     assert Grid(0, 90, 1, -1, 1, 180).edges("y")[-1] == -90
 
 
-@pytest.mark.parametrize("all_touched", [True])
+@pytest.mark.parametrize("all_touched", [True, False])
 def test_clip_beyond_the_pole(spark, all_touched):
     """clip_zone_all_touch and clip_zone_center raised an error where the zone lay beyond 90 degrees."""
     got = clip_geometry(tall(spark), box(-58.7, -240.1, -56.7, -122.0), all_touched=all_touched)
