@@ -40,7 +40,7 @@ def test_clip_beyond_the_pole(spark, all_touched):
 # --- queries on tables of 9,200 grid rows, 200 of them beyond the pole ----------------------------------------------------
 
 ROWS = 9_200
-QUERIES: list[str] = []
+QUERIES = ["align_nearest"]
 
 
 @pytest.fixture(scope="module")
