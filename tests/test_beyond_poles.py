@@ -58,7 +58,7 @@ def test_geodesic_areas_on_both_sides_of_the_pole(spark):
 # --- queries on tables of 9,200 grid rows, 200 of them beyond the pole ----------------------------------------------------
 
 ROWS = 9_200
-QUERIES = ["align_nearest", "aligned_area_grid", "area_grid_geodesic", "area_grid_rows_ha", "area_grid_rows_m2", "bbox_coordinates", "category_mean_std"]
+QUERIES = ["align_nearest", "aligned_area_grid", "area_grid_geodesic", "area_grid_rows_ha", "area_grid_rows_m2", "bbox_coordinates", "category_mean_std", "category_mean_std_time"]
 
 
 @pytest.fixture(scope="module")
