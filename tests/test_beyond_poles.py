@@ -39,6 +39,15 @@ def test_clip_beyond_the_pole(spark, all_touched):
     assert own == {(y, x): y * 5 + x if inside(y, x) else None for y in range(8, 17) for x in range(1, 4)}
 
 
+def test_clip_polygon_beyond_the_pole(spark):
+    """clip_polygon_center kept the rows between the pole and the triangle's end as one, and lost others."""
+    shell = [[-59.9, -562.0], [-55.1, -562.0], [-55.1, -41.0], [-59.9, -562.0]]
+    hole = [[-56.9, -502.0], [-56.9, -400.0], [-56.1, -400.0], [-56.1, -502.0], [-56.9, -502.0]]
+    got = clip_geometry(tall(spark), {"type": "Polygon", "coordinates": [shell, hole]}).pixels.collect()
+    inside = lambda x, y: -562 < y < -562 + (x + 59.9) * 521 / 4.8 and x < -55.1 and not (-56.9 < x < -56.1 and -502 < y < -400)
+    assert {(r["yi"] + 2, r["xi"]): r["value"] for r in got} == {(y, x): y * 5 + x if inside(x - 59.5, -15 * y - 7.5) else None for y in range(2, 38) for x in range(5)}
+
+
 def test_regular_bounds_are_the_decimals(spark):
     g = Grid(-60, 0, 0.05, -0.01, 20, 60_000)
     assert g.edges("y").tolist() == [float(f"-{k // 100}.{k % 100:02}") for k in range(60_001)]
