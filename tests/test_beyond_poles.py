@@ -74,7 +74,7 @@ def test_geodesic_areas_on_both_sides_of_the_pole(spark):
 # --- queries on tables of 9,200 grid rows, 200 of them beyond the pole ----------------------------------------------------
 
 ROWS = 9_200
-QUERIES = ["align_nearest", "aligned_area_grid", "area_grid_geodesic", "area_grid_rows_ha", "area_grid_rows_m2", "bbox_coordinates", "category_mean_std", "category_mean_std_time", "cell_bounds_irregular", "combined_classification", "combined_stats_labelled", "combined_stats_long"]
+QUERIES = ["align_nearest", "aligned_area_grid", "area_grid_geodesic", "area_grid_rows_ha", "area_grid_rows_m2", "bbox_coordinates", "category_mean_std", "category_mean_std_time", "cell_bounds_irregular", "combined_classification", "combined_stats_labelled", "combined_stats_long", "combined_stats_with_zero"]
 
 
 @pytest.fixture(scope="module")
