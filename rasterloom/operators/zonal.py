@@ -87,12 +87,13 @@ def combine_classes(primary: Raster, secondary: Raster, drop_zero: bool = True)
     a, b = primary.select(), secondary.select()
     left, right = a.pixels.withColumnRenamed(a.variables[0], "p"), b.pixels.withColumnRenamed(b.variables[0], "s")
     on = [k for k in KEYS if k in left.columns and k in right.columns]
+    # merge: where a filter makes this an inner join, pixels of a well packed file would look small enough to be broadcast
     if len(left.columns) == len(right.columns):
-        d = left.join(right, on, "full")
+        d = left.hint("merge").join(right, on, "full")
     else:  # a static raster at the times of the other: a cell without a row at any of them is of no time
         timed, static = (left, right) if "time" in left.columns else (right, left)
         times = F.broadcast(timed.select("time").distinct())  # few: the steps of a time axis
-        d = timed.join(static.crossJoin(times), [*on, "time"], "full")
+        d = timed.hint("merge").join(static.crossJoin(times), [*on, "time"], "full")
     code = F.col("p").cast("double") + F.col("s") / 10
     if drop_zero:
         code = F.when((F.col("p") == 0) | (F.col("s") == 0), 0.0).otherwise(code)
