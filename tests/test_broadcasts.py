@@ -27,7 +27,7 @@ def broadcast_rows(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["combined_stats_labelled", "combined_stats_long"])
+@pytest.mark.parametrize("name", ["combined_stats_labelled", "combined_stats_long", "combined_stats_with_zero"])
 def test_no_pixels_are_broadcast(spark, name):
     """By the size of their file, pixels of the combined_stats_ queries looked small: at 60 times sf0.1 the driver's 1 GB of heap couldn't hold the 4.8 to 6 million rows."""
     r = queries.fine(spark, DATA)
