@@ -357,6 +357,17 @@ def test_combined_in_time(spark):
     assert got == {(2000, "1.1"): 1, (2000, "2.1"): 1, (2001, "2.1"): 2}
 
 
+@pytest.mark.parametrize("large_at", [0, 499, 999])
+def test_combined_sums_areas_in_any_order(spark, large_at):
+    """combined_stats_long: a running sum lost what is less than half of its last bit, so the sum hung on the order of the cells."""
+    one, areas = raster(spark, [[1] * 1000]), [2.0**-24] * 1000
+    areas[large_at] = 2.0**30
+    total = lambda row: combined_class_area(one, one, raster(spark, [row]), wide=False).first()["area_hectares"]
+    assert total(areas) == math.fsum(areas) != 2.0**30
+    assert total([None, *areas[1:]]) == math.fsum(areas[1:])
+    assert total([math.inf, *areas[1:]]) == math.inf and total([None] * 1000) is None
+
+
 def test_category_stats(spark):
     c, v = raster(spark, [[0, 1, 1, 2, 3]]), raster(spark, [[9, 2, 4, -1, None]])
     got = {x["category"]: (x["mean_value"], x["std_value"]) for x in category_stats(c, v).collect()}
